@@ -16,26 +16,37 @@ def digits_only(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
 
-def _weighted_sql(number: str, weights) -> str:
+def has_key(raw: Column) -> Column:
+    """Whether ``raw`` yields a key. Filter on this rather than on the finished key:
+    Catalyst pushes filters down by substitution, and the key is a long expression."""
+    return raw.rlike("[0-9]")
+
+
+def _weighted_sum(number: str, weights) -> str:
     width = len(weights)
     return " + ".join(
-        f"(({number} div {10 ** (width - 1 - place)}) % 10) * {weight}"
-        for place, weight in enumerate(weights)
+        f"(({number} div {10 ** (width - 1 - place)}) % 10) * {weight}" for place, weight in enumerate(weights)
     )
 
 
+def _check_digit(total: str) -> str:
+    """11 minus the remainder of 11, with 10 and 11 folded to 0."""
+    return f"((({total}) * 10) % 11) % 10"
+
+
 def with_check_digits(df: DataFrame, twelve: str, out: str) -> DataFrame:
-    """Add ``out``: the two modulo-11 digits for the twelve-digit text column."""
+    """Add ``out``: the two modulo-11 digits for the twelve-digit text column.
+
+    The second digit weighs the same twelve digits one place on, plus the first digit times two.
+    """
     number, first = f"_{out}_n", f"_{out}_d1"
-    digit = "CASE WHEN ({total}) % 11 < 2 THEN 0 ELSE 11 - ({total}) % 11 END"
-    one = digit.format(total=_weighted_sql(number, CHECK_WEIGHTS))
-    two = digit.format(
-        total=_weighted_sql(f"({number} * 10 + {first})", (6, *CHECK_WEIGHTS))
-    )
+    last = CHECK_WEIGHTS[-1]
+    shifted = (CHECK_WEIGHTS[0] + 1, *CHECK_WEIGHTS[:-1])
+    second = _check_digit(f"{_weighted_sum(number, shifted)} + {first} * {last}")
     return (
-        df.withColumn(number, F.expr(f"try_cast({twelve} AS BIGINT)"))
-        .withColumn(first, F.expr(one))
-        .withColumn(out, F.concat(F.col(first).cast("string"), F.expr(two).cast("string")))
+        df.withColumn(number, F.col(twelve).try_cast("bigint"))
+        .withColumn(first, F.expr(_check_digit(_weighted_sum(number, CHECK_WEIGHTS))))
+        .withColumn(out, F.concat(F.col(first).cast("string"), F.expr(second).cast("string")))
         .drop(number, first)
     )
 
