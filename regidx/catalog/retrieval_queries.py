@@ -68,10 +68,10 @@ def cosine_topk_filtered(spark, folder) -> DataFrame:
     return _cosine_columns(hybrid_hits(S.embedding_index(spark, folder), S.label_queries(spark, folder), 10))
 
 
-@query("min_score_after_limit", _cosine_sql("true", "score >= 0.5", 50))
+@query("min_score_after_limit", _cosine_sql("true", "score >= 0.1", 50))
 def min_score_after_limit(spark, folder) -> DataFrame:
     queries = S.label_queries(spark, folder).select("query_id", "text", "embedding", *_no_filters())
-    return _cosine_columns(hybrid_hits(S.embedding_index(spark, folder), queries, 50, min_score=0.5))
+    return _cosine_columns(hybrid_hits(S.embedding_index(spark, folder), queries, 50, min_score=0.1))
 
 
 @query("ivf_full_probe_equals_exact", _cosine_sql("true"))
@@ -190,7 +190,9 @@ def lexical_topk_documents(spark, folder) -> DataFrame:
     questions = S.table(spark, folder, "benchmark").select(
         F.col("item_id").cast("string").alias("query_id"), "text", *_no_filters()
     )
-    hits = hybrid_hits(S.document_index(spark, folder), questions, 5)
+    # One small file is one split; long texts are worth spreading over all cores.
+    documents = S.document_index(spark, folder).repartition(2 * spark.sparkContext.defaultParallelism)
+    hits = hybrid_hits(documents, questions, 5)
     return hits.select("query_id", "rank", "cnpj", "score", "text_score")
 
 

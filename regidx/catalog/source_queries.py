@@ -97,7 +97,7 @@ def jsonl_roundtrip(spark, folder) -> DataFrame:
 )
 def latin1_csv_roundtrip(spark, folder) -> DataFrame:
     path = scratch_path(spark, "csv")
-    company_lines(spark, folder).write.option("encoding", "ISO-8859-1").text(path)
+    company_lines(spark, folder).write.text(path)
     return standardise_companies(read_companies(spark, path)).select(
         "cnpj", "razao_social", "capital_social_num", "porte_desc"
     )
@@ -112,12 +112,12 @@ def csv_dialect(spark, folder) -> DataFrame:
     """Whole texts as quoted Latin-1 fields; rows in English get a surplus field and are dropped."""
     documents = S.table(spark, folder, "documents")
     text = F.replace("text", F.lit("\n"), F.lit(" "))
-    line = F.concat(
-        quoted_line(F.col("doc_id").cast("string"), text, F.lit("NA")),
-        F.when(F.col("lang") == "en", F.lit(';;;;;"x"')).otherwise(F.lit("")),
-    )
     path = scratch_path(spark, "dialect")
-    documents.select(line.alias("line")).write.option("encoding", "ISO-8859-1").text(path)
+    fields = documents.select(F.col("doc_id").cast("string"), text.alias("text"), F.lit("NA").alias("n"), "lang")
+    surplus = [F.lit("").alias(f"x{place}") for place in range(4)]
+    for rows in (fields.filter("lang <> 'en'").drop("lang"), fields.filter("lang = 'en'").select("*", *surplus)):
+        rows.write.mode("append").option("sep", ";").option("quoteAll", True).option("escape", '"').option(
+            "encoding", "ISO-8859-1").csv(path)
     return read_companies(spark, path).filter(F.col("natureza_juridica").isNull()).select(
         F.col("cnpj_basico").cast("long").alias("doc_id"), F.coalesce("razao_social", F.lit("NULO")).alias("text")
     )

@@ -17,6 +17,8 @@ from pyspark.sql.types import DoubleType
 
 _BREAKS = re.compile(r"[\W_]+")
 _BITS = 21  # enough for any code point
+_LONG = 300  # trigrams from which the array search is faster
+_WINDOW, _STARTS = 128, 256
 
 
 # --- native expressions ----------------------------------------------------------
@@ -100,6 +102,61 @@ def best_stretch(query: set[int], target: list[int], beat: float = 0.0) -> float
     return found
 
 
+def best_stretch_long(query: np.ndarray, target: np.ndarray, beat: float = 0.0) -> float:
+    """``best_stretch`` for long targets: the same search over many starts at a time.
+
+    ``query`` is sorted and distinct. A trigram counts once per stretch, where its
+    previous occurrence lies before the start.
+    """
+    size, length, best, found = query.size, target.size, beat, 0.0
+    if not size or not length:
+        return 0.0
+    hit = query[np.searchsorted(query, target).clip(max=size - 1)] == target
+    starts = np.flatnonzero(hit & ~np.concatenate(([False], hit[:-1])))
+    if not starts.size:
+        return 0.0
+    order = np.argsort(target, kind="stable")
+    same = target[order[1:]] == target[order[:-1]]
+    before = np.full(length, -1, dtype=np.int32)
+    after = np.full(length, length, dtype=np.int32)
+    before[order[1:][same]] = order[:-1][same]
+    after[order[:-1][same]] = order[1:][same]
+    # From here on everything before the next start has come up again.
+    following = np.concatenate((starts[1:], [length]))
+    tail = after[starts[0] :]
+    owner = np.repeat(following, np.diff(np.concatenate((starts, [length]))))
+    ends = np.maximum.reduceat(np.where(tail >= owner, tail, -1), starts - starts[0])
+    steps = np.arange(_WINDOW, dtype=np.int32)
+    for first in range(0, starts.size, _STARTS):
+        at, end = starts[first : first + _STARTS], ends[first : first + _STARTS]
+        common = np.zeros(at.size, dtype=np.int32)
+        foreign = np.zeros(at.size, dtype=np.int32)
+        offset = 0
+        while at.size:
+            place = at[:, None] + (offset + steps)
+            inside = place < end[:, None]
+            place = np.minimum(place, length - 1)
+            new = inside & (before[place] < at[:, None])
+            match = hit[place]
+            commons = common[:, None] + np.cumsum(new & match, axis=1, dtype=np.int32)
+            foreigns = foreign[:, None] + np.cumsum(new & ~match, axis=1, dtype=np.int32)
+            top = float((commons / (size + foreigns)).max())
+            if top > best:
+                best = found = top
+            offset += _WINDOW
+            common, foreign = commons[:, -1], foreigns[:, -1]
+            alive = (size > best * (size + foreign)) & (at + offset < end) & (common < size)
+            at, end, common, foreign = at[alive], end[alive], common[alive], foreign[alive]
+    return found
+
+
+def stretch_score(query: np.ndarray, query_set: set[int], target: np.ndarray, beat: float = 0.0) -> float:
+    """Word similarity of prepared trigrams; 0 when it does not exceed ``beat``."""
+    if target.size > _LONG:
+        return best_stretch_long(query, target, beat)
+    return best_stretch(query_set, target.tolist(), beat)
+
+
 @F.pandas_udf(DoubleType())
 def word_similarity(query: pd.Series, target: pd.Series) -> pd.Series:
     """``word_similarity`` of two text columns; 0 when either is empty."""
@@ -107,9 +164,8 @@ def word_similarity(query: pd.Series, target: pd.Series) -> pd.Series:
     targets, target_at = batch_trigrams(target.tolist())
     return pd.Series(
         [
-            best_stretch(
-                set(queries[query_at[i] : query_at[i + 1]].tolist()), targets[target_at[i] : target_at[i + 1]].tolist()
-            )
+            stretch_score(wanted := np.unique(queries[query_at[i] : query_at[i + 1]]), set(wanted.tolist()),
+                          targets[target_at[i] : target_at[i + 1]])
             for i in range(len(query))
         ],
         dtype="float64",

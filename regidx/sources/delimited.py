@@ -32,6 +32,7 @@ def dialect_options(multi_line: bool = False) -> dict[str, str]:
         "columnNameOfCorruptRecord": _BAD,
         "multiLine": str(multi_line).lower(),
         "maxCharsPerColumn": "-1",
+        "columnPruning": "false",  # the field count is checked only when every field is parsed
     }
 
 

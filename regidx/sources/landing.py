@@ -58,6 +58,7 @@ def _problem(path: str, kind: str) -> str | None:
 def audit_files(files: DataFrame) -> DataFrame:
     """``path, kind, length, valid, reason`` per file; only zip and JSON files are opened.
 
+    The kind comes from a ``kind`` column if there is one, else from the file name.
     A zip check reads the central directory alone, so archive size does not matter.
     """
 
@@ -69,7 +70,8 @@ def audit_files(files: DataFrame) -> DataFrame:
             ]
             yield frame.assign(valid=[reason is None for reason in reasons], reason=reasons)
 
-    typed = files.select("path", file_kind(F.col("path")).alias("kind"), "length")
+    kind = F.col("kind") if "kind" in files.columns else file_kind(F.col("path")).alias("kind")
+    typed = files.select("path", kind, "length")
     return typed.mapInPandas(check, "path string, kind string, length long, valid boolean, reason string")
 
 

@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from regidx.functions.trigrams import batch_trigrams, best_stretch, similarity, trigram_set, word_similarity
+from regidx.functions.trigrams import batch_trigrams, best_stretch, best_stretch_long, similarity, trigram_set, word_similarity
 
 NU, LONG, OTHER = "Nu Pagamentos", "Nu Pagamentos S.A. - Instituicao De Pagamento", "Pagamentos Limitados Ltda"
 
@@ -44,7 +45,28 @@ def test_best_stretch_equals_every_stretch():
         assert abs(best_stretch(query, target) - all_stretches(query, target)) < 1e-12
 
 
+def test_long_search_equals_every_stretch(monkeypatch):
+    from regidx.functions import trigrams
+
+    monkeypatch.setattr(trigrams, "_WINDOW", 5)
+    monkeypatch.setattr(trigrams, "_STARTS", 3)
+    rng = random.Random(12)
+    for _ in range(2000):
+        alphabet = rng.randint(2, 14)
+        query = {rng.randrange(alphabet) for _ in range(rng.randint(0, 6))}
+        target = [rng.randrange(alphabet) for _ in range(rng.randint(0, 30))]
+        if rng.random() < 0.4:
+            target = target[:7] * 4
+        best = all_stretches(query, target)
+        got = trigrams.best_stretch_long(np.array(sorted(query), dtype=np.int64), np.array(target, dtype=np.int64))
+        assert abs(got - best) < 1e-12
+        over = trigrams.best_stretch_long(np.array(sorted(query), dtype=np.int64), np.array(target, dtype=np.int64), 0.4)
+        assert abs(over - (best if best > 0.4 else 0)) < 1e-12
+
+
 def test_repeated_text_is_not_quadratic():
     codes, at = batch_trigrams(["the same line again and again " * 4000])
     query, _ = batch_trigrams(["another same thing"])
-    assert 0 < best_stretch(set(query.tolist()), codes.tolist()) < 1
+    short = best_stretch(set(query.tolist()), codes.tolist())
+    assert 0 < short < 1
+    assert best_stretch_long(np.unique(query), codes) == short
