@@ -14,6 +14,7 @@ from regidx.operators.cells import assign_cells, probe_cells, train_centroids
 from regidx.operators.embedding import add_embedding
 from regidx.plans.prompts import contexts, prompt_rows
 from regidx.plans.search import flat_hits, hybrid_hits
+from regidx.session import through_storage
 
 QUERIES: dict[str, tuple] = {}
 
@@ -169,19 +170,22 @@ def _hit_columns(hits: DataFrame) -> DataFrame:
 
 
 def _stored_vectors(spark, folder) -> DataFrame:
-    return S.company_vectors(spark, folder)
+    """The index as it is used: a stored table."""
+    return through_storage(S.company_vectors(spark, folder), "vectors")
 
 
 @query("hybrid_topk", _hybrid_sql("true", HIT_SQL))
 def hybrid_topk(spark, folder) -> DataFrame:
-    queries = S.size_queries(spark, folder).withColumn("porte", F.lit(None).cast("string"))
-    return _hit_columns(hybrid_hits(_stored_vectors(spark, folder), queries, 10))
+    index = _stored_vectors(spark, folder)
+    queries = S.size_queries(index).withColumn("porte", F.lit(None).cast("string"))
+    return _hit_columns(hybrid_hits(index, queries, 10))
 
 
 @query("hybrid_filtered", _hybrid_sql("query_id = idx.size", HIT_SQL))
 def hybrid_filtered(spark, folder) -> DataFrame:
     """Each query keeps to companies of its own size."""
-    return _hit_columns(hybrid_hits(_stored_vectors(spark, folder), S.size_queries(spark, folder), 10))
+    index = _stored_vectors(spark, folder)
+    return _hit_columns(hybrid_hits(index, S.size_queries(index), 10))
 
 
 @query("lexical_topk_documents")
@@ -214,8 +218,9 @@ _CONTEXT = f"string_agg({_BLOCK}, chr(10) || chr(10) ORDER BY rank)"
 
 
 def _prompt_hits(spark, folder):
-    queries = S.size_queries(spark, folder)
-    return queries, hybrid_hits(_stored_vectors(spark, folder), queries, 3)
+    index = _stored_vectors(spark, folder)
+    queries = S.size_queries(index)
+    return queries, hybrid_hits(index, queries, 3)
 
 
 @query(

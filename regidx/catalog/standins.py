@@ -207,9 +207,8 @@ def company_vectors(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def size_queries(spark: SparkSession, folder: str) -> DataFrame:
+def size_queries(rows: DataFrame) -> DataFrame:
     """One hybrid query per company size: first name of the group and its mean vector."""
-    rows = company_vectors(spark, folder)
     names = rows.groupBy("size").agg(F.min("metadata.razao_social").alias("text"))
     return centroids(rows, "size").join(names, "size").select(
         F.col("size").alias("query_id"), "text", F.lit(None).cast("string").alias("uf"),

@@ -132,7 +132,7 @@ CHUNK_TEMPLATE = (
     "Empresa: %s. CNPJ: %s. Situacao: %s. CNAE: %s. Porte: %s. UF: %s. Capital: R$ %s"
 )
 SEGMENT_LABEL = "segmento "
-CONTEXT_BLOCK = "[%d] %s\n    (fonte: %s, similaridade: %.3f)"
+CONTEXT_BLOCK = "[%d] %s\n    (fonte: %s, similaridade: %s)"
 SYSTEM_PROMPT = """Voce e um analista de dados financeiros brasileiro.
 Responda SEMPRE em portugues do Brasil, de forma objetiva e tecnica.
 

@@ -21,6 +21,11 @@ def format_amount(value: Column) -> Column:
     return F.translate(F.format_number(value, 2), ",.", ".,")
 
 
+def fixed_places(value: Column, places: int) -> Column:
+    """Plain decimal text. Exact halves go to the even digit, unlike ``format_string``."""
+    return F.replace(F.format_number(value, places), F.lit(","), F.lit(""))
+
+
 def json_amount(text: Column) -> Column:
     """A JSON number read as text, as an exact decimal; null when it is not one."""
     return text.try_cast("decimal(20,2)")

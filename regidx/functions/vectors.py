@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from regidx.functions.amounts import fixed_places
+
 
 def _doubles(vector: Column) -> Column:
     return vector.cast("array<double>")
@@ -38,10 +40,11 @@ def vector_text(vector: Column) -> Column:
         wide = value.cast("double")
         power = F.when(wide == 0, 0).otherwise(F.floor(F.log10(F.abs(wide)))).cast("int")
         # The number of decimals that leaves seven significant digits depends on the magnitude.
-        by_power = [F.format_string(f"%.{6 - p}f", wide) for p in range(-4, 7)]
+        by_power = [fixed_places(wide, 6 - p) for p in range(-4, 7)]
         plain = F.element_at(F.array(*by_power), F.least(F.greatest(power, F.lit(-4)), F.lit(6)) + 5)
         plain = F.regexp_replace(F.regexp_replace(plain, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-        scientific = F.regexp_replace(F.format_string("%.6e", wide), r"\.?0*e", "e")
+        exponent = F.call_function("format_number", wide, F.lit("0.######E00"))
+        scientific = F.replace(F.regexp_replace(exponent, r"E(\d)", "e+$1"), F.lit("E"), F.lit("e"))
         return F.when(power.between(-4, 6), plain).otherwise(scientific)
 
     return F.concat(F.lit("["), F.array_join(F.transform(vector, number), ","), F.lit("]"))

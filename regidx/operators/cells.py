@@ -33,7 +33,7 @@ def train_centroids(index: DataFrame, cells: int = VECTOR_CELLS, seed: int = 17,
 
 def _nearest(df: DataFrame, centroids: np.ndarray, count: int, out: str) -> DataFrame:
     """Add the ``count`` nearest cells of each vector, nearest first."""
-    shared = df.sparkSession.sparkContext.broadcast(np.asarray(centroids))
+    shared = df.sparkSession.sparkContext.broadcast(np.asarray(centroids, dtype=np.float64))
     kind = T.ArrayType(T.IntegerType())
 
     @F.pandas_udf(kind)

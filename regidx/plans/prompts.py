@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regidx.fixed import CONTEXT_BLOCK, NO_CONTEXT_ANSWER, SYSTEM_PROMPT, UNKNOWN_SOURCE, USER_PROMPT
+from regidx.functions.amounts import fixed_places
 from regidx.functions.text import filled_or
 
 NO_MODEL = "none"
@@ -19,7 +20,7 @@ def context_block(rank: Column, text: Column, source: Column, score: Column) ->
     """``[i] text`` and a line with source and similarity to three places."""
     return _template(
         CONTEXT_BLOCK, rank, F.btrim(filled_or(text, ""), F.lit(" \t\n\r\x0b\x0c")),
-        filled_or(source, UNKNOWN_SOURCE), F.coalesce(score, F.lit(0.0)),
+        filled_or(source, UNKNOWN_SOURCE), fixed_places(F.coalesce(score, F.lit(0.0)), 3),
     )
 
 

@@ -161,7 +161,8 @@ def test_display_text(spark):
 def test_vector_functions(spark):
     df = spark.createDataFrame(
         [([0.1, -0.25, 3.0], [1.0, 0.0, 0.0]), ([0.0, 0.0, 0.0], [1.0, 0.0, 0.0]),
-         ([1e-5, 1234567.0, 12345678.0], [0.0, 1.0, 0.0]), ([0.00012345678, 99.99999, 1e10], [0.0, 0.0, 1.0])],
+         ([1e-5, 1234567.0, 12345678.0], [0.0, 1.0, 0.0]), ([0.00012345678, 99.99999, 1e10], [0.0, 0.0, 1.0]),
+         ([2.0 ** -11, -3 * 2.0 ** -13, 2.0 ** 30], [0.0, 0.0, 1.0])],
         "a array<float>, b array<float>")
     out = df.select(vectors.vector_text(F.col("a")).alias("t"), "a",
                     vectors.cosine_similarity(F.col("a"), F.col("b")).alias("c")).collect()
