@@ -23,6 +23,8 @@ def build_session(app_name: str = "regidx", master: str | None = None, **setting
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
         "spark.sql.parquet.filterPushdown": "true",
+        # Long text-cleaning chains: methods above 8000 bytes of bytecode are never compiled by the JIT.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
     }
     for key, value in {**defaults, **settings}.items():
         builder = builder.config(key, value)

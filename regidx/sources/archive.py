@@ -170,9 +170,8 @@ def expand_archives(spark: SparkSession, pattern: str, target: str, marker: str
     missing. Returns the folders written. UTF-8 output reads back splittable.
     """
     done = {base_name(path) for path in matching_paths(spark, f"{target}/member=*")}
-    name = F.udf(base_name, T.StringType())
     lines = read_archive_lines(spark, matching_paths(spark, pattern), marker, first_only=False)
-    fresh = lines.withColumn("member", name("member")).filter(
+    fresh = lines.withColumn("member", F.regexp_extract("member", r"[^\\/]*$", 0)).filter(
         ~F.concat(F.lit("member="), F.col("member")).isin(*done) if done else F.lit(True)
     )
     fresh.select("member", "line").write.mode("append").partitionBy("member").text(target)

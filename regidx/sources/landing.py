@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import zipfile
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,13 +25,16 @@ def discover(spark: SparkSession, folder: str, *patterns: str) -> list[str]:
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Path and length of every file; contents are not read."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(folder)
-        .select("path", "length")
-    )
+    """Path and length of every file; contents are not read.
+
+    Spark plans no split for an empty file, so those come from the listing itself.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    names = spark.createDataFrame([(unquote(path),) for path in files.inputFiles()], "path string")
+    same = F.regexp_replace("path", r"^([a-z0-9+.-]+):/+", "$1:/").alias("same")  # file:/x is file:///x
+    sized = files.select(same, "length")
+    found = names.select("path", same).join(sized, "same", "left")
+    return found.select("path", F.coalesce("length", F.lit(0)).alias("length"))
 
 
 def file_kind(path: Column) -> Column:
