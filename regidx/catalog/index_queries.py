@@ -15,7 +15,7 @@ from regidx.functions.amounts import json_amount
 from regidx.operators.embedding import hashed_trigrams, add_embedding
 from regidx.plans import listing, statistics
 from regidx.plans.index_table import IndexTable
-from regidx.plans.search import exact_hits, keyed_queries, usable_queries
+from regidx.plans.search import exact_hits, keyed_queries, known_keys, usable_queries
 from regidx.functions.vectors import vector_text
 from regidx.session import scratch_path
 from regidx.streaming.ingest import chunk_stream, keep_index_current
@@ -114,7 +114,7 @@ def key_lookup_batch(spark, folder) -> DataFrame:
 )
 def key_pattern_routing(spark, folder) -> DataFrame:
     keyed = keyed_queries(usable_queries(customer_questions(spark, folder)))
-    known = S.order_index(spark, folder).select(F.col("cnpj").alias("key")).distinct().withColumn("seen", F.lit(True))
+    known = known_keys(S.order_index(spark, folder), keyed).select(F.col("cnpj").alias("key"), F.lit(True).alias("seen"))
     return keyed.join(known, "key", "left").select(
         "query_id", "key", F.coalesce("seen", F.lit(False)).alias("routed")
     )
