@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regidx.functions.keys import key_mask, with_company_key
-from regidx.operators.embedding import add_embedding
 from regidx.plans.chunks import registry_to_chunks
 from regidx.plans.registry import (
     standardise_companies,
@@ -239,7 +238,3 @@ def document_index(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def embedded_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return add_embedding(chunks(spark, folder), "embed_text")
-
-

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from regidx.fixed import CONTEXT_BLOCK, NO_CONTEXT_ANSWER, SYSTEM_PROMPT, UNKNOWN_SOURCE, USER_PROMPT
 from regidx.functions.amounts import fixed_places
 from regidx.functions.text import filled_or
+from regidx.operators.embedding import EncoderFactory
+from regidx.plans.search import check_top_k, search
 
 NO_MODEL = "none"
 
@@ -75,3 +77,12 @@ def prompt_rows(queries: DataFrame, hits: DataFrame) -> DataFrame:
         F.when(~found, F.lit(NO_CONTEXT_ANSWER)).alias("answer"),
         F.when(~found, F.lit(NO_MODEL)).alias("model_used"),
     )
+
+
+def build_prompts(
+    index: DataFrame, queries: DataFrame, k: int = 5, encoder: EncoderFactory | None = None, buckets: int | None = None
+) -> DataFrame:
+    """Search every question (state and size filters only) and assemble its prompt row."""
+    check_top_k(k, 20)
+    asked = queries.drop("source")
+    return prompt_rows(asked, search(index, asked, k, encoder, buckets=buckets))

@@ -13,7 +13,7 @@ from regidx.operators.embedding import add_embedding
 from regidx.plans.chunks import registry_to_chunks
 from regidx.plans.index_table import IndexTable, index_rows
 from regidx.plans.listing import company_items, company_page, company_page_after, latest_companies
-from regidx.plans.prompts import prompt_rows
+from regidx.plans.prompts import build_prompts, prompt_rows
 from regidx.plans.search import flat_hits, hybrid_hits, query_blocks, search
 from regidx.plans.statistics import stats_record
 from regidx.streaming.ingest import chunk_stream, keep_index_current
@@ -202,6 +202,14 @@ def test_prompts(spark, index):
     assert rows["d"].messages is None and rows["d"].model_used == "none" and rows["d"].sources == []
 
 
+def test_build_prompts(spark, index):
+    queries = spark.createDataFrame([("q", " banco digital ", "SP"), ("z", "", "SP")], "query_id string, text string, uf string")
+    row, = build_prompts(index, queries, 2).collect()
+    assert row.question == "banco digital" and row.n_documents == 2 and {s.uf for s in row.sources} == {"SP"}
+    with pytest.raises(ValueError):
+        build_prompts(index, queries, 21)
+
+
 def test_stream_equals_batch(spark, chunks, tmp_path):
     plain = chunks.drop("embedding").select("cnpj", "text", "metadata", "embed_text")
     folder = str(tmp_path / "in")
