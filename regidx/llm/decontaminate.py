@@ -10,7 +10,7 @@ from regidx.session import through_storage
 
 #: What separates words once A-Z are lower case.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WINDOW, GRAM = 13, 5
+WINDOW, GRAM = 13, 4
 #: A place in a text takes the low bits of a fingerprint, its hash the others.
 PLACE_BITS = 26
 #: Benchmark rows (fingerprints or windows) that may be broadcast; more are joined by a shuffle.
@@ -21,20 +21,46 @@ SALTS = 16
 def words_of(text: Column) -> Column:
     """Words in order; null and texts without a word give an empty array."""
     split = F.split(lower_ascii(F.coalesce(text, F.lit(""))), SEPARATORS, -1)
-    return F.filter(split, lambda w: w != "")
+
+    def trimmed(w: Column) -> Column:
+        # Only a separator at either end of the text leaves an empty piece.
+        first = F.when(F.get(w, F.lit(0)) == "", 2).otherwise(1)
+        last = F.size(w) - F.when(F.get(w, F.size(w) - 1) == "", 1).otherwise(0)
+        return F.slice(w, first, F.greatest(last - first + 1, F.lit(0)))
+
+    return let(split, trimmed)
 
 
 def window_length(words: Column, window: int) -> Column:
     return F.least(F.size(words), F.lit(window))
 
 
+def _slide(values: Column, width: int, combine) -> Column:
+    """``combine`` over each run of ``width`` values, built from runs of half the width; as many results as runs.
+
+    Both halves may overlap, so ``combine`` of a run is fixed by the run alone.
+    """
+
+    def paired(runs: Column, step: int) -> Column:
+        def halves(r: Column) -> Column:
+            left = F.greatest(F.size(r) - step, F.lit(0))
+            return F.zip_with(F.slice(r, F.lit(1), left), F.slice(r, F.lit(step + 1), left), combine)
+
+        return let(runs, halves)
+
+    runs, reach = values, 1
+    while reach < width:
+        step = min(reach, width - reach)
+        runs, reach = paired(runs, step), reach + step
+    return runs
+
+
 def gram_hashes(words: Column, gram: int) -> Column:
-    """Hash and place of every run of ``gram`` words, packed into a long."""
-    mask = F.lit((1 << PLACE_BITS) - 1).cast("long")
-    return F.transform(
-        F.sequence(F.lit(0), F.size(words) - gram),
-        lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(gram)]).bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long")),
-    )
+    """Hash and place of every run of ``gram`` words, packed into a long; none for fewer words."""
+    mask = F.lit(-1 << PLACE_BITS).cast("long")
+    grams = words if gram > 1 else F.transform(words, lambda w: F.xxhash64(w))
+    hashes = _slide(grams, gram, lambda a, b: F.xxhash64(a, b))
+    return F.transform(hashes, lambda h, i: h.bitwiseAND(mask).bitwiseOR(i.cast("long")))
 
 
 def winnow(words: Column, gram: int, over: int) -> Column:
@@ -42,17 +68,11 @@ def winnow(words: Column, gram: int, over: int) -> Column:
 
     Two texts that share gram + over - 1 consecutive words share the hash of one of these.
     """
-    span = gram + over - 1
-    picked = let(
-        gram_hashes(words, gram),
-        lambda h: F.array_distinct(
-            F.transform(F.sequence(F.lit(1), F.size(h) - over + 1), lambda i: F.array_min(F.slice(h, i, F.lit(over))))
-        ),
-    )
+    picked = F.array_distinct(_slide(gram_hashes(words, gram), over, lambda a, b: F.least(a, b)))
     too_long = F.raise_error(F.lit(f"a text of more than {1 << PLACE_BITS} words cannot be fingerprinted"))
     return (
         F.when(F.size(words) >= 1 << PLACE_BITS, too_long.cast("array<long>"))
-        .when(F.size(words) >= span, picked)
+        .when(F.size(words) >= gram + over - 1, picked)
         .otherwise(F.array().cast("array<long>"))
     )
 
@@ -65,12 +85,13 @@ def _place_part(packed: Column) -> Column:
     return packed.bitwiseAND(F.lit((1 << PLACE_BITS) - 1).cast("long")).cast("int")
 
 
-def _salted(left: DataFrame, right: DataFrame, on: str, rows: int) -> DataFrame:
-    """Inner join with the benchmark's side: broadcast while small, else by a shuffle with split keys."""
+def _with_benchmark(left: DataFrame, right: DataFrame, on: str, rows: int, how: str) -> DataFrame:
+    """Join with the benchmark's side: broadcast while small, else by a shuffle with split keys."""
     if rows <= BROADCAST_ROWS:
-        return left.join(F.broadcast(right), on)
+        return left.join(F.broadcast(right), on, how)
     salted = left.withColumn("_salt", F.pmod(F.xxhash64("_id", "_row"), F.lit(SALTS)))
-    return salted.join(right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long")), [on, "_salt"]).drop("_salt")
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    return salted.join(copies, [on, "_salt"], how).drop("_salt")
 
 
 def contaminated_words(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
@@ -128,60 +149,63 @@ def _judged(
     base = docs.select(F.col(doc_id), F.col(text).cast("string").alias("_text"), *row_key(doc_id, text))
     schema = "array<struct<start:int,end:int>>"
     if not windows:
-        found = base.select(
-            doc_id,
-            "_id",
-            "_row",
-            F.size(words_of(F.col("_text"))).cast("long").alias("n_words"),
-            F.lit(0).cast("long").alias("n_hit"),
-            F.array().cast("array<string>").alias("items"),
-            F.array().cast(schema).alias("spans"),
-        )
-        return found.withColumn("contaminated", F.lit(False))
+        least = window
     gram = min(GRAM, least)
     over = least - gram + 1
     prints = bench.select(
         "n", F.explode(F.transform(gram_hashes(F.col("w"), gram), _hash_part)).alias("print")
     ).distinct()
+    # One pass over the texts: each row's number of words comes first, its fingerprints follow.
     seen = base.select(
-        "_id", "_row", F.explode(let(words_of(F.col("_text")), lambda w: winnow(w, gram, over))).alias("_packed")
-    ).select("_id", "_row", _hash_part(F.col("_packed")).alias("print"), _place_part(F.col("_packed")).alias("place"))
-    # Starts at which a window over the hit gram could lie, with the window's length.
-    hits = (
-        _salted(seen, prints, "print", windows * window)
-        .groupBy("_id", "_row", "n")
-        .agg(F.array_sort(F.collect_set("place")).alias("places"))
-        .groupBy("_id", "_row")
-        .agg(F.collect_list(F.struct("n", "places")).alias("hits"))
+        doc_id,
+        "_id",
+        "_row",
+        F.posexplode(
+            let(
+                words_of(F.col("_text")),
+                lambda w: F.concat(F.array(F.size(w).cast("long")), winnow(w, gram, over)),
+            )
+        ).alias("_at", "_packed"),
+    ).select(
+        doc_id,
+        "_id",
+        "_row",
+        F.when(F.col("_at") == 0, F.col("_packed")).alias("n_words"),
+        F.when(F.col("_at") > 0, _hash_part(F.col("_packed"))).alias("print"),
+        _place_part(F.col("_packed")).alias("place"),
+    )
+    met = _with_benchmark(seen, prints, "print", windows * window, "left")
+    rows = through_storage(
+        met.where(F.col("n").isNotNull() | F.col("n_words").isNotNull())
+        .groupBy(doc_id, "_id", "_row")
+        .agg(
+            F.max("n_words").alias("n_words"),
+            F.count("n_words").alias("copies"),
+            F.collect_set(F.when(F.col("n").isNotNull(), F.struct("n", "place"))).alias("hits"),
+        ),
+        "contamination",
     )
 
-    def windows_at(words: Column, hit: Column) -> Column:
-        starts = F.array_distinct(
-            F.flatten(F.transform(hit["places"], lambda p: F.sequence(F.greatest(p - hit["n"] + gram, F.lit(0)), p)))
+    def windows_at(words: Column, hits: Column) -> Column:
+        # Every start at which a window of n words could hold the gram that was met.
+        around = F.transform(
+            hits,
+            lambda h: F.transform(
+                F.sequence(F.greatest(h["place"] - h["n"] + gram, F.lit(0)), h["place"]),
+                lambda s: F.struct(s.alias("start"), h["n"].alias("n")),
+            ),
         )
-        inside = F.filter(starts, lambda s: s + hit["n"] <= F.size(words))
+        inside = F.filter(F.array_distinct(F.flatten(around)), lambda c: c["start"] + c["n"] <= F.size(words))
         return F.transform(
-            inside, lambda s: F.struct(s.alias("start"), hit["n"].alias("n"), F.slice(words, s + 1, hit["n"]).alias("w"))
+            inside, lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), F.slice(words, c["start"] + 1, c["n"]).alias("w"))
         )
 
-    # Stored once: the texts' words are counted and cut in the same pass.
-    cut = through_storage(
-        base.join(hits, ["_id", "_row"], "left").select(
-            doc_id,
-            "_id",
-            "_row",
-            let(
-                words_of(F.col("_text")),
-                lambda w: F.struct(
-                    F.size(w).cast("long").alias("n_words"),
-                    F.flatten(F.transform(F.coalesce("hits", F.array().cast(hits.schema["hits"].dataType)), lambda h: windows_at(w, h))).alias("cuts"),
-                ),
-            ).alias("c"),
-        ).select(doc_id, "_id", "_row", "c.n_words", "c.cuts"),
-        "contamination",
-    )
-    tried = cut.dropDuplicates(["_id", "_row"]).select("_id", "_row", F.explode("cuts").alias("c")).select("_id", "_row", "c.start", "c.n", "c.w")
-    sure = _salted(tried, bench.select("item", "w"), "w", windows)
+    met_rows = rows.where(F.size("hits") > 0).dropDuplicates(["_id", "_row"]).select("_id", "_row", "hits")
+    texts = base.select("_id", "_row", "_text").join(met_rows, ["_id", "_row"])
+    tried = texts.select(
+        "_id", "_row", F.explode(let(words_of(F.col("_text")), lambda w: windows_at(w, F.col("hits")))).alias("c")
+    ).select("_id", "_row", "c.start", "c.n", "c.w")
+    sure = _with_benchmark(tried, bench.select("item", "w"), "w", windows, "inner")
     ends = F.struct("start", (F.col("start") + F.col("n")).alias("end"))
     per_doc = sure.groupBy("_id", "_row").agg(
         F.array_sort(F.collect_set(ends)).alias("ranges"), F.array_sort(F.collect_set("item")).alias("items")
@@ -193,18 +217,19 @@ def _judged(
             (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] >= r["start"]),
             F.array_append(
                 F.slice(acc, F.lit(1), F.size(acc) - 1),
-                F.struct(
-                    F.get(acc, F.size(acc) - 1)["start"].alias("start"),
-                    F.greatest(F.get(acc, F.size(acc) - 1)["end"], r["end"]).alias("end"),
+                F.named_struct(
+                    F.lit("start"), F.get(acc, F.size(acc) - 1)["start"],
+                    F.lit("end"), F.greatest(F.get(acc, F.size(acc) - 1)["end"], r["end"]),
                 ),
             ),
         ).otherwise(F.array_append(acc, r)),
     )
-    judged = cut.select(doc_id, "_id", "_row", "n_words").join(per_doc, ["_id", "_row"], "left").select(
+    judged = rows.join(per_doc, ["_id", "_row"], "left").select(
         doc_id,
         "_id",
         "_row",
         "n_words",
+        F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_copy"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         F.coalesce(F.when(F.col("ranges").isNotNull(), merged), F.array().cast(schema)).alias("spans"),
     )
