@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from regidx.llm import byte_bpe, chat_format, decontaminate, secrets, token_counts
+from regidx.llm import byte_bpe, chat_format, decontaminate, embedding_dedup, secrets, simhash, token_counts
 from regidx.llm.common import UPPER, table
 
 #: The conversation every chat digest also covers.
@@ -24,11 +24,19 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_chats(turns.unionByName(extra)))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = byte_bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return byte_bpe.digest(coded)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -81,7 +89,9 @@ FROM t GROUP BY conv_id
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_chat_format": op3_chat_format,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_simhash": op7_simhash,
     "op8_token_counts": op8_token_counts,
     "op9_secrets": op9_secrets,
 }
