@@ -79,10 +79,10 @@ class ByteBpe:
 
     def learn(self, pieces: set[str]) -> None:
         """Put the ids of pieces into the cache, as bytes of int32."""
-        new = pieces - self.known.keys()
+        new = [piece for piece in pieces if piece not in self.known]
         if new and len(self.known) + len(new) > self.cache:
             self.known.clear()
-            new = pieces
+            new = list(pieces)
         mapped = [piece.encode().decode("latin-1").translate(self.characters) for piece in new]
         for piece, ids in zip(new, self.model.encode(mapped, num_threads=1) if mapped else [], strict=True):
             self.known[piece] = self.rank_of[ids].tobytes()

@@ -57,10 +57,10 @@ class TokenCounter:
     def count(self, texts: list[str | None]) -> list[int]:
         cuts = [self.words(text) for text in texts]
         words = set().union(*(cut for cut in cuts if cut))
-        new = words - self.lengths.keys()
+        new = [word for word in words if word not in self.lengths]
         if new and len(self.lengths) + len(new) > self.cache:
             self.lengths = dict(self.frequent)
-            new = words - self.lengths.keys()
+            new = [word for word in words if word not in self.lengths]
         self.lengths.update((word, self.word(word)) for word in new)
         length = self.lengths.__getitem__
         return [self.whole(t) if cut is None else sum(map(length, cut)) for t, cut in zip(texts, cuts, strict=True)]
