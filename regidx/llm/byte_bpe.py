@@ -132,11 +132,12 @@ def encode_documents(
     return append_columns(docs, text, fields, make, rows=256)
 
 
-def digest(coded: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+def digest(coded: DataFrame, doc_id: str = "doc_id", *more: str) -> DataFrame:
     ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
     return coded.select(
         doc_id,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(ids, 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+        *more,
     )

@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from regidx.llm import byte_bpe, chat_format, decontaminate, embedding_dedup, secrets, simhash, token_counts
+from regidx.llm import (
+    byte_bpe,
+    chat_format,
+    decontaminate,
+    embedding_dedup,
+    line_dedup,
+    secrets,
+    simhash,
+    substring_dedup,
+    token_counts,
+    toxicity,
+)
 from regidx.llm.common import UPPER, table
 
 #: The conversation every chat digest also covers.
@@ -16,6 +27,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(found)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), n_chars=None)
+    return cut.select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame(
@@ -24,6 +40,12 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_chats(turns.unionByName(extra)))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, machine).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
@@ -46,6 +68,10 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 OP1_SQL = f"""
@@ -88,11 +114,14 @@ FROM t GROUP BY conv_id
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_line_dedup": op2_line_dedup,
     "op3_chat_format": op3_chat_format,
+    "op4_toxicity": op4_toxicity,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_simhash": op7_simhash,
     "op8_token_counts": op8_token_counts,
     "op9_secrets": op9_secrets,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 SQL = {"op1_decontaminate": OP1_SQL, "op3_chat_format": OP3_SQL}
