@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,3 +43,37 @@ def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
                 break
             label = above
     return label
+
+
+def by_group(members: DataFrame, keys: list[str], make, schema: str) -> DataFrame:
+    """``make(frame)`` over the rows of each group, for very many small groups.
+
+    Rows are brought together and sorted by Spark and stream through each task, which holds one
+    group at a time.
+    """
+
+    def run(frames):
+        held: list[pd.DataFrame] = []
+        for frame in frames:
+            if not len(frame):
+                continue
+            key = frame[keys].to_numpy()
+            starts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(frame)]
+            if held and (held[-1][keys].to_numpy()[-1] != key[0]).any():
+                yield make(pd.concat(held, ignore_index=True))
+                held = []
+            done = []
+            for start, end in zip(starts[:-2], starts[1:-1], strict=True):
+                part = frame.iloc[start:end].reset_index(drop=True)
+                if held:
+                    part = pd.concat([*held, part], ignore_index=True)
+                    held = []
+                if len(part) > 1:
+                    done.append(make(part))
+            held.append(frame.iloc[starts[-2] :])
+            if done:
+                yield pd.concat(done, ignore_index=True)
+        if held:
+            yield make(pd.concat(held, ignore_index=True))
+
+    return members.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regidx.llm.blocks import merge, split_groups
+from regidx.llm.blocks import by_group, merge, split_groups
 from regidx.llm.components import components
 from regidx.session import through_storage
 
@@ -167,7 +167,7 @@ def near_vectors(
         to_leaves, "name long, copies long, v array<double>, size int, leaf long, leaves array<long>"
     )
     split = split_groups(sent, ["size", "leaf"], "name")
-    met = through_storage(split.groupBy("size", "leaf", "_chunk").applyInPandas(_linked(cosine), "u long, v long, n long"), "vector-links")
+    met = through_storage(by_group(split, ["size", "leaf", "_chunk"], _linked(cosine), "u long, v long, n long"), "vector-links")
     reached = components(met.where("u <> v").select("u", "v"), "vectors").withColumnRenamed("node", "name")
     counts = met.groupBy(F.col("u").alias("name")).agg(F.sum("n").alias("n"))
     known = (

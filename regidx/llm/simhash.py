@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regidx.llm.arrow_rows import append_columns
-from regidx.llm.blocks import merge, split_groups
+from regidx.llm.blocks import by_group, merge, split_groups
 from regidx.llm.common import replaced
 from regidx.llm.components import components
 from regidx.session import through_storage
@@ -157,7 +157,7 @@ def near_duplicates(
     classes = through_storage(printed.groupBy("print").agg(F.min(doc_id).alias("least")), "fingerprint-classes")
     sent = classes.select("print").mapInArrow(_to_anchors(distance), "print long, block int, anchor int")
     split = split_groups(sent, ["block", "anchor"], "print")
-    links = split.groupBy("block", "anchor", "_chunk").applyInPandas(_linked(distance), "u long, v long")
+    links = by_group(split, ["block", "anchor", "_chunk"], _linked(distance), "u long, v long")
     reached = components(links, "simhash").withColumnRenamed("node", "print")
     known = classes.join(reached, "print", "left").withColumn("component", F.coalesce("component", "print"))
     least = known.groupBy("component").agg(F.min("least").alias("component_id"))
