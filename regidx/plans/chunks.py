@@ -70,7 +70,9 @@ def build_chunks(
     spark: SparkSession, folder: str, limit: int | None = None, sources: Iterable[str] | None = None
 ) -> tuple[DataFrame, SourceRun]:
     """Chunks of the chosen sources, de-duplicated; plus what happened to each source."""
-    run = run_sources(loaders(spark, folder, limit), sources)
+    failures: dict[str, str] = {}
+    run = run_sources(loaders(spark, folder, limit, failures), sources)
+    run.failures.update(failures)
     return dedupe_chunks(registry_to_chunks(union_registry(run.frames.values(), spark), keys_checked=True)), run
 
 

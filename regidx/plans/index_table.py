@@ -16,7 +16,7 @@ from regidx.functions.vectors import l2_norm
 from regidx.operators.keyed import best_per_group
 from regidx.operators.predicates import key_bucket
 from regidx.schemas import INDEX
-from regidx.session import empty_frame, matching_paths, remove_path, scratch_path
+from regidx.session import empty_frame, matching_paths, remove_path, scratch_path, through_storage
 
 KEY = ["cnpj", "text_md5"]
 NO_SOURCE = "__HIVE_DEFAULT_PARTITION__"
@@ -108,11 +108,20 @@ class IndexTable:
         remove_path(self.spark, self._source_path(source))
         return removed
 
-    def replace_sources(self, chunks: DataFrame, sources: list[str], created_at: datetime | None = None) -> int:
-        """Drop the named sources, then load the chunks; other sources stay."""
+    def replace_sources(
+        self, chunks: DataFrame, sources: list[str], created_at: datetime | None = None, allow_empty: bool = False
+    ) -> int:
+        """Drop the named sources, then load the chunks; other sources stay.
+
+        The new rows are computed and stored before anything is dropped, so they may come out of this very
+        table. A named source without a new row keeps its old ones, unless ``allow_empty`` is set.
+        """
+        staged = through_storage(chunks, "replacement")
+        filled = {row.source for row in staged.select("metadata.source").distinct().collect()}
         for source in sources:
-            self.delete_source(source)
-        return self.upsert(chunks, created_at)
+            if allow_empty or source in filled:
+                self.delete_source(source)
+        return self.upsert(staged, created_at)
 
     def truncate(self) -> None:
         for path in matching_paths(self.spark, f"{self.path}/source=*"):

@@ -11,6 +11,7 @@ import logging
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ from regidx.functions.text import city_name, clean_text, filled_or, first_filled
 from regidx.operators.enrich import first_rows, headquarters, is_headquarters, row_cap
 from regidx.operators.keyed import keep_first
 from regidx.schemas import COMPANY_FILE, ESTABLISHMENT_FILE, REGISTRY
-from regidx.session import empty_frame
+from regidx.session import empty_frame, through_storage
 from regidx.sources.archive import read_archive_rows
 from regidx.sources.delimited import FILE_ORDER, read_headerless, read_with_header
 from regidx.sources.directory import read_participants, server_count
@@ -43,6 +44,8 @@ from regidx.sources.landing import discover
 
 log = logging.getLogger(__name__)
 
+SOURCE_ERRORS = (PySparkException, Py4JJavaError, OSError, ValueError, KeyError)
+
 
 def column_or(df: DataFrame, name: str, default: str = "") -> Column:
     """The column, or a constant when the input lacks it."""
@@ -115,8 +118,13 @@ def _read_layout(spark: SparkSession, paths: list[str], marker: str, schema) ->
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def load_companies(spark: SparkSession, folder: str, limit: int | None = None) -> DataFrame:
-    """Tax registry with head-office data where establishment files are present (all slices)."""
+def load_companies(
+    spark: SparkSession, folder: str, limit: int | None = None, failures: dict[str, str] | None = None
+) -> DataFrame:
+    """Tax registry with head-office data where establishment files are present (all slices).
+
+    Establishments that cannot be read are noted in ``failures``; the companies come without their data.
+    """
     company_paths = discover(spark, folder, COMPANY_FILES)
     if not company_paths:
         log.warning("no company file in %s", folder)
@@ -125,10 +133,15 @@ def load_companies(spark: SparkSession, folder: str, limit: int | None = None) -
     office_paths = discover(spark, folder, *ESTABLISHMENT_FILES)
     offices = None
     if office_paths:
-        establishments = _read_layout(spark, office_paths, ESTABLISHMENT_MEMBER, ESTABLISHMENT_FILE)
-        # Stops at the first head office found; no shuffle.
-        if not establishments.filter(is_headquarters(F.col("identificador_matriz_filial"))).isEmpty():
-            offices = headquarters(establishments, limit)
+        try:
+            establishments = _read_layout(spark, office_paths, ESTABLISHMENT_MEMBER, ESTABLISHMENT_FILE)
+            # Stored, so that a file that cannot be read shows here and costs the enrichment, not the companies.
+            found = through_storage(headquarters(establishments, limit), "head-offices")
+            offices = None if found.isEmpty() else found
+        except SOURCE_ERRORS as error:
+            log.error("companies without head offices: %s", error)
+            if failures is not None:
+                failures["establishments"] = str(error)
     return standardise_companies(companies, offices, limit)
 
 
@@ -218,9 +231,11 @@ class SourceRun:
         return {name: seen.get["rows"] for name, seen in self.observations.items()}
 
 
-def loaders(spark: SparkSession, folder: str, limit: int | None = None) -> dict[str, Callable[[], DataFrame]]:
+def loaders(
+    spark: SparkSession, folder: str, limit: int | None = None, failures: dict[str, str] | None = None
+) -> dict[str, Callable[[], DataFrame]]:
     builders = (
-        lambda: load_companies(spark, folder, row_cap(limit)),
+        lambda: load_companies(spark, folder, row_cap(limit), failures),
         lambda: load_listed(spark, folder, row_cap(limit)),
         lambda: load_participants(spark, folder),
     )
@@ -228,7 +243,7 @@ def loaders(spark: SparkSession, folder: str, limit: int | None = None) -> dict[
 
 
 def run_sources(builders: dict[str, Callable[[], DataFrame]], only: Iterable[str] | None = None) -> SourceRun:
-    """Build the chosen sources; one that fails is reported and skipped."""
+    """Build and store the chosen sources; one that cannot be planned or read is reported and skipped."""
     chosen = set(only) if only else set(builders)
     run = SourceRun()
     for name, build in builders.items():
@@ -236,9 +251,9 @@ def run_sources(builders: dict[str, Callable[[], DataFrame]], only: Iterable[str
             continue
         try:
             seen = Observation(f"rows_{name}")
-            run.frames[name] = build().observe(seen, F.count(F.lit(1)).alias("rows"))
+            run.frames[name] = through_storage(build().observe(seen, F.count(F.lit(1)).alias("rows")), f"source-{name}")
             run.observations[name] = seen
-        except (PySparkException, OSError, ValueError, KeyError) as error:
+        except SOURCE_ERRORS as error:
             log.error("source %s skipped: %s", name, error)
             run.failures[name] = str(error)
     return run

@@ -55,7 +55,7 @@ def by_size_description(index: DataFrame) -> DataFrame:
 
 
 def participants_by_segment(index: DataFrame) -> DataFrame:
-    participants = index.filter(F.col("metadata.source") == SOURCES[2])
+    participants = index.filter(F.col("source") == SOURCES[2])
     segment = filled_or(first_filled(F.col("metadata.segmento")), DASHBOARD_OTHER)
     return count_by(participants, segment, "segmento", "participantes")
 
@@ -83,7 +83,7 @@ def company_dashboard(
             F.col("metadata.uf").alias("uf"),
             F.col("metadata.cnae").alias("cnae"),
             F.col("metadata.situacao").alias("situacao"),
-            F.col("metadata.capital_social").cast("decimal(20,2)").alias("capital_social"),
+            F.col("metadata.capital_social").try_cast("decimal(20,2)").alias("capital_social"),
         )
         .orderBy(F.desc_nulls_first("capital_social"), F.asc_nulls_last("cnpj"))
         .limit(most)
@@ -92,7 +92,7 @@ def company_dashboard(
 
 def participant_dashboard(index: DataFrame) -> DataFrame:
     return (
-        index.filter(F.col("metadata.source") == SOURCES[2])
+        index.filter(F.col("source") == SOURCES[2])
         .select(
             F.col("metadata.razao_social").alias("instituicao"),
             F.col("metadata.municipio").alias("municipio"),
@@ -162,4 +162,4 @@ def stats_record(index: DataFrame, dimension: int = EMBEDDING_DIM, top: int = 10
 
 def iso_stamp(column: str = "last_ingestion"):
     """Timestamp as ISO-8601 text, null-safe."""
-    return F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    return F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")

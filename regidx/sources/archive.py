@@ -8,6 +8,7 @@ on the raw key before it cleans anything).
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
 import zipfile
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from regidx.fixed import FIELD_SEPARATOR, FILE_ENCODING
-from regidx.session import matching_paths, scratch_path
+from regidx.session import _hadoop_path, matching_paths, remove_path, scratch_path
 from regidx.sources.delimited import parse_lines
 
 LINES_PER_BATCH = 8192
@@ -164,18 +165,39 @@ def read_archive_rows(spark: SparkSession, paths: list[str], marker: str, schema
 
 
 def expand_archives(spark: SparkSession, pattern: str, target: str, marker: str = "") -> list[str]:
-    """Unpack every member into text files below ``target``, one folder per member base name.
+    """Unpack every member into text files below ``target``: one folder per archive, in it one per member base name.
 
-    Folders that already exist are kept, so a repeated run only adds what is
-    missing. Returns the folders written. UTF-8 output reads back splittable.
+    An archive's folder is named by its file, its whole path and its size, so members of one name in
+    two archives both stay, and an archive that has changed is unpacked anew in place of its old copy.
+    Archives already unpacked are skipped. Returns the member folders. The output is UTF-8.
     """
-    done = {base_name(path) for path in matching_paths(spark, f"{target}/member=*")}
-    lines = read_archive_lines(spark, matching_paths(spark, pattern), marker, first_only=False)
-    fresh = lines.withColumn("member", F.regexp_extract("member", r"[^\\/]*$", 0)).filter(
-        ~F.concat(F.lit("member="), F.col("member")).isin(*done) if done else F.lit(True)
-    )
-    fresh.select("member", "line").write.mode("append").partitionBy("member").text(target)
-    return matching_paths(spark, f"{target}/member=*")
+    folders = {}
+    for path in matching_paths(spark, pattern):
+        fs, hadoop_path = _hadoop_path(spark, path)
+        # Only characters that a partition folder's name keeps as they are.
+        place = f"{re.sub(r'[^A-Za-z0-9._-]', '_', base_name(path))}-{hashlib.md5(path.encode()).hexdigest()[:8]}"
+        folders[path] = (place, f"{place}-{fs.getFileStatus(hadoop_path).getLen()}")
+    done = {base_name(found.rstrip("/")).partition("=")[2] for found in matching_paths(spark, f"{target}/archive=*")}
+    fresh = {path: name for path, (_, name) in folders.items() if name not in done}
+    if fresh:
+        names = spark.createDataFrame(list(fresh.items()), "archive string, name string")
+        staged = scratch_path(spark, "expanded")
+        lines = read_archive_lines(spark, list(fresh), marker, first_only=False).join(names, "archive")
+        lines.select(
+            F.col("name").alias("archive"), F.regexp_extract("member", r"[^\\/]*$", 0).alias("member"), "line"
+        ).write.partitionBy("archive", "member").text(staged)
+        # Whole folders move, so an archive is there entirely or not at all.
+        for path, name in fresh.items():
+            fs, source = _hadoop_path(spark, f"{staged}/archive={name}")
+            _, home = _hadoop_path(spark, f"{target}/archive={name}")
+            fs.mkdirs(home if not fs.exists(source) else home.getParent())
+            if fs.exists(source) and not fs.rename(source, home):
+                raise OSError(f"cannot move {source} to {home}")
+            for old in done:
+                if old.startswith(f"{folders[path][0]}-"):
+                    remove_path(spark, f"{target}/archive={old}")
+        remove_path(spark, staged)
+    return matching_paths(spark, f"{target}/archive=*/member=*")
 
 
 def write_archives(df: DataFrame, member: str, label: str = "archives") -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zipfile
 from collections.abc import Iterator
 from urllib.parse import unquote
@@ -103,8 +104,14 @@ def latest_period(paths: DataFrame, fallback: str | None = None, column: str = "
     return periods(paths, column).agg(F.coalesce(F.max("period"), F.lit(fallback)).alias("period"))
 
 
-def read_latest_period(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of the newest ``period=`` partition; the others are pruned, not read."""
+def read_latest_period(spark: SparkSession, folder: str, fallback: str | None = None) -> DataFrame:
+    """Rows of the newest ``period=YYYY-MM`` partition, else of the fallback; the others are pruned, not read.
+
+    Partitions of any other name, the one of null periods included, are no periods.
+    """
     rows = spark.read.parquet(folder)
-    newest = max(path.rsplit("period=", 1)[1] for path in matching_paths(spark, f"{folder}/period=*"))
-    return rows.filter(F.col("period") == newest)
+    names = [unquote(path.rstrip("/").rsplit("period=", 1)[1]) for path in matching_paths(spark, f"{folder}/period=*")]
+    newest = max((name for name in names if re.fullmatch(PERIOD_PATTERN, name)), default=fallback)
+    if newest is None:
+        raise ValueError(f"no period in {folder} and no fallback")
+    return rows.filter(F.col("period").cast("string") == newest)

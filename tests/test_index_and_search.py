@@ -71,6 +71,10 @@ def test_replace_delete_truncate(spark, chunks, tmp_path):
     table.replace_sources(half, ["cvm"])
     now = {row.source: row["count"] for row in table.read().groupBy("source").count().collect()}
     assert now == {**sizes, "cvm": half.select("cnpj", "text").distinct().count()}
+    # Rows out of the same table, and a source without new rows.
+    own = table.read().filter("source = 'cvm'").selectExpr("cnpj", "text_chunk AS text", "metadata", "embedding")
+    assert table.replace_sources(own, ["cvm", "bacen"]) == now["cvm"]
+    assert {row.source: row["count"] for row in table.read().groupBy("source").count().collect()} == now
     assert table.delete_source("bacen") == sizes["bacen"]
     assert table.read().filter("source = 'bacen'").isEmpty()
     table.truncate()

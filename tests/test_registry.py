@@ -114,6 +114,19 @@ def test_failing_source_is_skipped(spark, landing):
     assert set(run.frames) == {"receita_federal", "bacen"} and run.failures == {"cvm": "bad file"}
 
 
+def test_files_that_cannot_be_read_cost_their_own_data_alone(spark, landing_with_offices):
+    import pathlib
+
+    for path in pathlib.Path(landing_with_offices).rglob("*"):
+        if "stabele" in path.name.lower():
+            path.write_bytes(b"no archive at all, whatever its name says")
+        elif path.suffix == ".json":
+            path.write_text("{nao e json")
+    rows, run = build_chunks(spark, landing_with_offices)
+    assert {row.s for row in rows.select(F.col("metadata.source").alias("s")).collect()} == {"receita_federal", "cvm"}
+    assert set(run.failures) == {"establishments", "bacen"}
+
+
 def test_dedupe_is_idempotent_and_prefers_early_sources(spark, landing):
     chunks, _ = build_chunks(spark, landing)
     doubled, before, after = count_duplicates(chunks.unionByName(chunks))

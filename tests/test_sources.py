@@ -5,6 +5,7 @@ import zipfile
 from types import SimpleNamespace
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from fixtures_registry import quoted, write_landing, write_zip
@@ -16,7 +17,8 @@ from regidx.schemas import COMPANY_FILE
 from regidx.session import shared_folder
 from regidx.sources.archive import base_name, expand_archives, read_archive_rows, rows_of
 from regidx.sources.delimited import read_companies
-from regidx.sources.landing import audit_files, latest_period, list_files
+from regidx.sources.directory import read_participants
+from regidx.sources.landing import audit_files, latest_period, list_files, read_latest_period
 
 ROWS = [
     '"1";"A;B ""C""";"x";"y";"1,0";"05";""',
@@ -73,9 +75,39 @@ def test_expansion_stays_inside_its_target(spark, tmp_path):
         folders = expand_archives(spark, str(tmp_path / "*.zip"), target)
         assert sorted(base_name(f) for f in folders) == ["member=fora.txt", "member=ok.csv"]
         assert spark.read.text(target).count() == 3
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as archive:  # a member of a name that a.zip has too
+        archive.writestr("ok.csv", "3\n4\n5\n")
+    for _ in range(2):
+        assert len(expand_archives(spark, str(tmp_path / "*.zip"), target)) == 3
+        assert spark.read.text(target).count() == 6
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as archive:  # changed: unpacked anew
+        archive.writestr("ok.csv", "3\n4\n5\n6\n77\n")
+    expand_archives(spark, str(tmp_path / "*.zip"), target)
+    assert spark.read.text(target).count() == 8
     assert not (tmp_path.parent / "fora.txt").exists()
 
 
+def test_latest_period_passes_over_other_partitions(spark, tmp_path):
+    folder = str(tmp_path / "periods")
+    rows = spark.createDataFrame([(1, "2026-01"), (2, "2026-02"), (3, None), (4, "tmp")], "x int, period string")
+    rows.write.partitionBy("period").parquet(folder)
+    assert [r.x for r in read_latest_period(spark, folder).collect()] == [2]
+    other = str(tmp_path / "other")
+    rows.filter("x > 2").write.partitionBy("period").parquet(other)
+    assert [r.x for r in read_latest_period(spark, other, fallback="tmp").collect()] == [4]
+    with pytest.raises(ValueError):
+        read_latest_period(spark, other)
+
+
+def test_invalid_directory_is_an_error(spark, tmp_path):
+    path = tmp_path / "broken.json"
+    path.write_text("{nao e json")
+    with pytest.raises(PySparkException):
+        read_participants(spark, str(path)).collect()
+    path.write_text('[{"OrganisationName": "A"}, 5]')
+    assert read_participants(spark, str(path)).count() == 1
+
+
 def test_landing_audit(spark, tmp_path):
     (tmp_path / "bad.zip").write_bytes(b"not a zip")
     write_zip(tmp_path / "good.zip", "a.csv", ["1"])
