@@ -90,7 +90,7 @@ def _with_benchmark(left: DataFrame, right: DataFrame, on: str, rows: int, how:
     if rows <= BROADCAST_ROWS:
         return left.join(F.broadcast(right), on, how)
     salted = left.withColumn("_salt", F.pmod(F.xxhash64("_id", "_row"), F.lit(SALTS)))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     return salted.join(copies, [on, "_salt"], how).drop("_salt")
 
 
