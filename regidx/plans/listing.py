@@ -27,7 +27,7 @@ def company_page(companies: DataFrame, limit: int = 20, offset: int = 0) -> Data
 
 
 def company_page_after(companies: DataFrame, last_key: str, limit: int = 20) -> DataFrame:
-    """The page after a known key; the filter reaches the scan, so depth costs nothing."""
+    """The page after a known key; the filter reaches the scan, so earlier rows are not read into the sort."""
     if not 1 <= limit <= 200:
         raise ValueError("limit must lie in 1..200")
     return companies.filter(F.col("cnpj") > last_key).orderBy("cnpj").limit(limit)
