@@ -58,6 +58,8 @@ def route(units: np.ndarray, levels, tree: int, cosine: float) -> tuple[np.ndarr
 
 
 def units_of(vectors: np.ndarray) -> np.ndarray:
+    """Unit vectors; a power of two first brings huge and tiny ones to where squares neither overflow nor vanish."""
+    vectors = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
