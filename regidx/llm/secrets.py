@@ -40,7 +40,8 @@ ALLOWED = (
     r"(?i)example|sample|placeholder|dummy|changeme|redacted|lorem|xxxx|0123456789|123456789|abcdefgh|qwerty",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[0-9]{4}-[0-9]{2}-[0-9]{2}",
-    r"^(?:[A-Za-z]+[0-9]{0,4}[-/_=+])+[A-Za-z]*[0-9]{0,4}$",
+    # Possessive, so that a run of any length is matched without recursion.
+    r"^(?:[A-Za-z]++[0-9]{0,4}+[-/_=+])++[A-Za-z]*+[0-9]{0,4}+$",
 )
 
 
