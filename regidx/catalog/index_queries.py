@@ -263,7 +263,7 @@ def vector_text_query(spark, folder) -> DataFrame:
 
 # --- table mutations -----------------------------------------------------------------------
 FIRST, LATER = datetime(2026, 1, 1), datetime(2026, 2, 1)
-SMALL = hashed_trigrams(16)
+SMALL = hashed_trigrams()
 
 
 def _embedded(rows: DataFrame) -> DataFrame:

@@ -234,7 +234,7 @@ def index_build(spark, folder) -> DataFrame:
     for number, path in enumerate(matching_paths(spark, f"{landing}/part-*.zip")):
         _rename(spark, path, f"{landing}/Empresas{number}.zip")
     table = IndexTable(spark, scratch_path(spark, "index"), S.BUCKETS)
-    report = build_index(spark, landing, table, encoder=hashed_trigrams(16))
+    report = build_index(spark, landing, table, encoder=hashed_trigrams())
     entries = F.transform(
         F.array_sort(F.map_entries("by_source")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))
     )

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regidx.functions.vectors import l2_norm
-from regidx.operators.keyed import best_per_group
+from regidx.operators.keyed import best_per_group, source_ordinal
 from regidx.operators.predicates import key_bucket
 from regidx.schemas import INDEX
 from regidx.session import empty_frame, matching_paths, remove_path, scratch_path, through_storage
@@ -50,9 +50,9 @@ def merge_rows(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
     The existing side is only filtered, never aggregated, so its wide rows move
     only when the incoming keys are too many to broadcast. A batch that repeats a
-    key counts once.
+    key counts once; the earliest source in registry order wins.
     """
-    once = best_per_group(incoming, KEY, [F.col("source").asc_nulls_last(), F.to_json("metadata").asc()], 1)
+    once = best_per_group(incoming, KEY, [source_ordinal(F.col("source")).asc_nulls_last(), F.to_json("metadata").asc()], 1)
     known = existing.select(*KEY, "created_at").join(once.select(*KEY), KEY, "left_semi")
     stamps = known.groupBy(*KEY).agg(F.min("created_at").alias("first_seen"))
     updated = once.join(stamps, KEY, "left").withColumn(

@@ -9,7 +9,7 @@ from regidx.operators.keyed import dedupe_chunks
 from regidx.plans.chunks import build_chunks, count_duplicates, registry_to_chunks
 from regidx.plans.registry import load_companies, load_listed, load_participants, loaders, run_sources
 from regidx.sources.chunk_files import load_chunks, save_chunks
-from fixtures_registry import write_landing
+from fixtures_registry import STATES, key, root, write_landing
 
 
 @pytest.fixture
@@ -28,25 +28,25 @@ def by_key(df, key="cnpj"):
 
 def test_companies_from_latin1_zip(spark, landing):
     rows = by_key(load_companies(spark, landing, 100))
-    assert set(rows) == {"00000000000191", "11111111000191"}
-    bank = rows["00000000000191"]
-    assert (bank.razao_social, bank.capital_social_num, bank.uf) == ("Banco Do Brasil Sa", 9e10, NOT_INFORMED)
-    assert rows["11111111000191"].porte_cod == "01"
+    assert set(rows) == {key(1), key(2)}
+    mill = rows[key(1)]
+    assert (mill.razao_social, mill.capital_social_num, mill.uf) == ("Moinho Aurora Ltda", 1500.25, NOT_INFORMED)
+    assert rows[key(2)].porte_cod == "03"
 
 
 def test_listed(spark, landing):
     rows = by_key(load_listed(spark, landing))
-    assert set(rows) == {"00000000000191", "18236120000158"}
-    assert {row.uf for row in rows.values()} == {"DF", "SP"}
-    assert rows["00000000000191"].situacao_desc == "Ativa"
+    assert set(rows) == {key(1), key(5)}
+    assert {row.uf for row in rows.values()} == set(STATES[:2])
+    assert rows[key(1)].situacao_desc == "Ativa"
 
 
 def test_participants(spark, landing):
     rows = by_key(load_participants(spark, landing))
-    assert set(rows) == {"18236120000158", "60701190000104"}
-    nu = rows["18236120000158"]
-    assert (nu.uf, nu.municipio, nu.segmento, nu.porte_desc, nu.porte_cod, nu.authorisation_servers) == (
-        NOT_INFORMED, "Sao Paulo", "Large", "Instituicao financeira", "", 2)
+    assert set(rows) == {key(5), key(6)}
+    yard = rows[key(5)]
+    assert (yard.uf, yard.municipio, yard.segmento, yard.porte_desc, yard.porte_cod, yard.authorisation_servers) == (
+        NOT_INFORMED, "Recife", "Medium", "Instituicao financeira", "", 3)
 
 
 @pytest.mark.parametrize("payload, rows", [
@@ -66,10 +66,9 @@ def test_missing_sources_are_empty(spark, tmp_path):
 
 def test_offices_fill_state_activity_and_status(spark, landing_with_offices):
     rows = by_key(load_companies(spark, landing_with_offices, 100), "cnpj_basico")
-    assert set(rows) == {"00000000", "11111111"}
-    assert (rows["00000000"].uf, rows["00000000"].cnae_fiscal_principal, rows["00000000"].situacao_desc) == (
-        "DF", "6422100", "Ativa")
-    assert (rows["11111111"].uf, rows["11111111"].situacao_desc) == ("RS", "Baixada")
+    assert set(rows) == {root(1)}  # the other company has offices, but no head office among them
+    first = rows[root(1)]
+    assert (first.uf, first.cnae_fiscal_principal, first.situacao_desc) == (STATES[0], "1062700", "Ativa")
 
 
 def test_all_sources(spark, landing):
@@ -81,10 +80,10 @@ def test_all_sources(spark, landing):
         assert len(row.cnpj) == 14 and row.embed_text != row.text and row.text.startswith("Empresa:")
     assert counts == {"receita_federal": 2, "cvm": 2, "bacen": 2}
     assert run.rows_read() == counts and not run.failures
-    nu = next(row for row in rows if row.metadata.source == "bacen" and row.cnpj == "18236120000158")
-    assert nu.metadata.municipio == "Sao Paulo" and nu.metadata.segmento == "Large" and "segmento Large" in nu.text
-    assert nu.embed_text == ("Nu Pagamentos S.A - Instituicao participante do Open Finance Brasil - segmento Large, "
-                             "segmento Large, Instituicao financeira, Sao Paulo, Active")
+    yard = next(row for row in rows if row.metadata.source == "bacen" and row.cnpj == key(5))
+    assert yard.metadata.municipio == "Recife" and yard.metadata.segmento == "Medium" and "segmento Medium" in yard.text
+    assert yard.embed_text == ("Estaleiro Pagamentos Ltda - Instituicao participante do Open Finance Brasil - "
+                               "segmento Medium, segmento Medium, Instituicao financeira, Recife, Active")
 
 
 def test_caps(spark, landing):
@@ -95,8 +94,8 @@ def test_caps(spark, landing):
 
 def test_state_reaches_the_text(spark, landing_with_offices):
     rows = build_chunks(spark, landing_with_offices, 100, ["receita_federal"])[0].collect()
-    assert {row.metadata.uf for row in rows} == {"DF", "RS"}
-    assert any("UF: DF" in row.text for row in rows)
+    assert {row.metadata.uf for row in rows} == {STATES[0]}
+    assert any(f"UF: {STATES[0]}" in row.text for row in rows)
 
 
 def test_source_subset(spark, landing):

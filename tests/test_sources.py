@@ -132,10 +132,10 @@ def test_build_and_partial_rebuild(spark, tmp_path):
     table = IndexTable(spark, str(tmp_path / "index"), 2)
     report = build_index(spark, landing, table, encoder=hashed_trigrams(16))
     stats = report.stats.first()
-    assert report.indexed == 6 and stats.by_source == {"receita_federal": 2, "cvm": 2, "bacen": 2}
-    assert stats.embedding_dim == 16 and stats.total_companies == 4
+    assert report.indexed == 5 and stats.by_source == {"receita_federal": 1, "cvm": 2, "bacen": 2}
+    assert stats.embedding_dim == 16 and stats.total_companies == 3
     again = build_index(spark, landing, table, only=["bacen"], encoder=hashed_trigrams(16))
-    assert again.indexed == 2 and again.stats.first().total_embeddings == 6
+    assert again.indexed == 2 and again.stats.first().total_embeddings == 5
 
 
 def test_ranking_limits_rows_before_the_shuffle(spark):
