@@ -88,7 +88,8 @@ def check_vectors(spark, vectors, **options):
     rows = [(i, None if v is None else [None if x is None else float(x) for x in v]) for i, v in enumerate(vectors)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "'x' AS name", "1 AS leaf")
     good = [i for i, v in enumerate(vectors) if v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)]
-    units = {i: np.array(vectors[i], float) / np.linalg.norm(np.array(vectors[i], float)) for i in good}
+    scaled = {i: np.array(vectors[i], float) / np.abs(np.array(vectors[i], float)).max() for i in good}
+    units = {i: v / np.linalg.norm(v) for i, v in scaled.items()}
     links = [(i, j) for i in good for j in good if j < i and len(units[i]) == len(units[j]) and units[i] @ units[j] >= 0.9]
     expected = roots(len(vectors), links)
     degree = [0] * len(vectors)
@@ -104,7 +105,7 @@ def check_vectors(spark, vectors, **options):
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(60, 16))
-    vectors = [*base, *(base[:30] + rng.normal(size=(30, 16)) * 0.2), *(base[:5] * 3), *([base[0]] * 12),
+    vectors = [*base, *(base[:30] + rng.normal(size=(30, 16)) * 0.2), *(base[:5] * 3), *([base[0]] * 12), *(base[:2] * 2.0**600), *(base[:2] * 2.0**-600),
                None, [], [0.0] * 16, [None] + [1.0] * 15, [float("nan")] * 16, [float("inf")] + [1.0] * 15, [1.0, 0.0], [2.0, 0.0]]
     got, expected, _ = check_vectors(spark, [None if v is None else list(v) for v in vectors], leaf=1000)
     assert got == expected

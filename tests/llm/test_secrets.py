@@ -17,6 +17,7 @@ TEXTS = [
     f"secret: {KEY} and token=token:abcdefgh",
     "password: " + "x" * 50_000,
     ("ab1cd2 " * 3 + KEY + "\n") * 400,
+    "a1-" * 20_000,
     "f3a9c1e7b2d4860f5a3c secret=1 secret=123456 Secret='äbcdefgh'",
 ]
 
