@@ -12,18 +12,25 @@ from regidx.session import through_storage
 DEPTH = 3
 #: Documents in which a template recurs; tokens of a leaf in fewer documents are variable.
 DOCUMENTS = 5
-#: Tokens of a line that a generalised template must keep.
+#: Share of a line's tokens after the leading ones that a generalised template must keep.
 SIMILAR = 0.5
 VARIABLE = "<*>"
 BLANKS = r"[ \t\x0B\f\r]+"
+#: A line with a constant token: one without digits that is not the variable mark itself.
+CONSTANT = r"(?:^|[ \t\x0B\f\r])(?!<\*>(?:[ \t\x0B\f\r]|\z))[^0-9 \t\x0B\f\r]+(?:[ \t\x0B\f\r]|\z)"
 
 
 def masked(line: Column) -> Column:
-    """The line's tokens joined by one space, those with a digit replaced by the variable mark."""
-    tokens = F.transform(
-        F.split(line, BLANKS), lambda t: F.when(F.rlike(t, F.lit("[0-9]")), F.lit(VARIABLE)).otherwise(t)
-    )
-    return F.when(F.rlike(line, F.lit(r"[0-9\t\x0B\f\r]|  ")), F.array_join(F.filter(tokens, lambda t: t != ""), " ")).otherwise(line)
+    """The line's tokens joined by one space, those with a digit replaced by the variable mark.
+
+    Without a constant token the mask says nothing of the line, which then keeps its own tokens.
+    """
+    tokens = F.filter(F.split(line, BLANKS), lambda t: t != "")
+    marked = F.transform(tokens, lambda t: F.when(F.rlike(t, F.lit("[0-9]")), F.lit(VARIABLE)).otherwise(t))
+    return F.when(
+        F.rlike(line, F.lit(r"[0-9\t\x0B\f\r]|  ")),
+        F.array_join(F.when(F.rlike(line, F.lit(CONSTANT)), marked).otherwise(tokens), " "),
+    ).otherwise(line)
 
 
 def lines_of(text: Column) -> Column:
@@ -45,7 +52,8 @@ def templates(lines: DataFrame, documents: int, similar: float) -> DataFrame:
     """(leaf, line, template) for the distinct ``lines`` (leaf, line, n_docs) of a leaf.
 
     A token stays if it stands at its place in lines of enough documents of its leaf; the others are
-    variable. A line that would keep less than the share ``similar`` is its own template.
+    variable. The leading tokens are equal in a leaf, so say nothing: a line that would keep less than the share
+    ``similar`` of the tokens after them, that has none, or that has no constant token, is its own template.
     """
     tokens = lines.select("leaf", "line", "n_docs", F.posexplode(F.split("line", " ")).alias("place", "token"))
     common = tokens.groupBy("leaf", "place", "token").agg(F.sum("n_docs").alias("n")).where(F.col("n") >= documents)
@@ -53,10 +61,12 @@ def templates(lines: DataFrame, documents: int, similar: float) -> DataFrame:
     general = marked.groupBy("leaf", "line").agg(
         F.array_sort(F.collect_list(F.struct("place", F.when(F.col("stays"), F.col("token")).alias("token")))).alias("tokens")
     )
-    kept = F.size(F.filter("tokens", lambda t: t["token"].isNotNull() & (t["token"] != VARIABLE)))
+    later = F.slice("tokens", DEPTH + 1, F.greatest(F.size("tokens") - DEPTH, F.lit(0)))
+    kept = F.size(F.filter(later, lambda t: t["token"].isNotNull() & (t["token"] != VARIABLE)))
+    alike = (kept > 0) & (kept >= similar * F.size(later)) & F.rlike("line", F.lit(CONSTANT))
     text = F.array_join(F.transform("tokens", lambda t: F.coalesce(t["token"], F.lit(VARIABLE))), " ")
     return general.select(
-        "leaf", "line", F.when(kept >= similar * F.size("tokens"), text).otherwise(F.col("line")).alias("template")
+        "leaf", "line", F.when(alike, text).otherwise(F.col("line")).alias("template")
     )
 
 
@@ -71,8 +81,8 @@ def drop_recurring_lines(
     """``docs`` with text without recurring lines, and n_lines, n_dropped (before and of the change).
 
     A template recurs if lines of at least ``documents`` distinct documents have it. Its lines stay in
-    the document with the least id (there each line's first copy) and go everywhere else, so no wording is
-    lost from the corpus. Blank lines stay. Null text: no line, stays null; a text may become empty,
+    the document with the least id (there each line's first copy) and go everywhere else, whatever stands in
+    their variable places. Lines without a constant token recur only as they are. Blank lines stay. Null text: no line, stays null; a text may become empty,
     its row stays. Rows of one id and text are one document; rows of a null id count as one
     document per text and are first of all. A column ``n_chars`` follows the new text.
 

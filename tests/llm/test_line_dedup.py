@@ -71,3 +71,11 @@ def test_extra_columns_and_repeats(spark):
     found = sorted((r.doc_id or 0, r.text) for r in got.collect())
     assert found == [(0, "a b"), (1, "c"), (1, "c"), (2, "d")] + [(i, "") for i in range(3, 8)]
     assert drop_recurring_lines(df.limit(0)).collect() == []
+
+
+def test_distinct_short_lines_and_number_rows_survive(spark, docs_of):
+    texts = [f"It is a k{chr(97 + i)} l{chr(97 + i)} m{chr(97 + i)}\n{i} {i * 7} {i * 3}\n0 0 0 0 {i}\n0 0 0 0 {i}\n<*> {i}\n5 5 5\nPage {i} of 9" for i in range(8)]
+    got = {r.doc_id: r.text for r in drop_recurring_lines(docs_of(texts).repartition(3)).collect()}
+    assert got[0] == texts[0]
+    # Equal rows of numbers and a page line's template recur; unlike rows and wordings do not.
+    assert all(got[i] == "\n".join(texts[i].split("\n")[:5]) for i in range(1, 8))
