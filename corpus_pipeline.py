@@ -12,8 +12,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the machine, learned from their labels, does not call toxic."""
+    """Documents that the machine, learned from their labels, does not call toxic; all where it could learn nothing."""
     machine = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    if not machine.feature_of:
+        return docs.select(*COLUMNS)
     return toxicity.score_documents(docs, machine).where("predicted = 0").select(*COLUMNS)
 
 

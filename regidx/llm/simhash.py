@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 
 from regidx.llm.arrow_rows import append_columns
 from regidx.llm.blocks import by_group, merge, split_groups
-from regidx.llm.common import replaced
 from regidx.llm.components import components
 from regidx.session import through_storage
 
@@ -135,6 +134,17 @@ def add_fingerprint(docs: DataFrame, text: str = "text", name: str = "print", sh
     return append_columns(docs, text, [T.StructField(name, T.LongType())], make)
 
 
+def _grouped(classes: DataFrame, distance: int) -> DataFrame:
+    """``classes``, one row per ``print``, with the component of each."""
+    if not 0 <= distance <= 5:
+        raise ValueError("three blocks and a radius of 3 + 1 find at most 5 differing bits")
+    sent = classes.select("print").mapInArrow(_to_anchors(distance), "print long, block int, anchor int")
+    split = split_groups(sent, ["block", "anchor"], "print")
+    links = by_group(split, ["block", "anchor", "_chunk"], _linked(distance), "u long, v long")
+    reached = components(links, "simhash").withColumnRenamed("node", "print")
+    return classes.join(reached, "print", "left").withColumn("component", F.coalesce("component", "print"))
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE, shingle: int = SHINGLE
 ) -> DataFrame:
@@ -148,18 +158,12 @@ def near_duplicates(
     Only distinct fingerprints are compared, each sent to about five anchors per block; a large group of one
     anchor is compared in blocks, and each task sends on a spanning set of its links.
     """
-    if not 0 <= distance <= 5:
-        raise ValueError("three blocks and a radius of 3 + 1 find at most 5 differing bits")
     printed = through_storage(
         add_fingerprint(docs.select(F.col(doc_id), F.col(text).cast("string").alias("_text")), "_text", shingle=shingle).drop("_text"),
         "fingerprints",
     )
     classes = through_storage(printed.groupBy("print").agg(F.min(doc_id).alias("least")), "fingerprint-classes")
-    sent = classes.select("print").mapInArrow(_to_anchors(distance), "print long, block int, anchor int")
-    split = split_groups(sent, ["block", "anchor"], "print")
-    links = by_group(split, ["block", "anchor", "_chunk"], _linked(distance), "u long, v long")
-    reached = components(links, "simhash").withColumnRenamed("node", "print")
-    known = classes.join(reached, "print", "left").withColumn("component", F.coalesce("component", "print"))
+    known = _grouped(classes, distance)
     least = known.groupBy("component").agg(F.min("least").alias("component_id"))
     by_print = through_storage(known.join(least, "component").select("print", "component_id"), "simhash-classes")
     return printed.join(by_print, "print").select(
@@ -167,8 +171,21 @@ def near_duplicates(
     )
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of their component; rows of a null id stay."""
-    found = near_duplicates(replaced(docs, "_unused"), doc_id, text, **options)
-    gone = found.where(F.col(doc_id) != F.col("component_id")).select(F.col(doc_id).alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+def keep_one(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE, shingle: int = SHINGLE
+) -> DataFrame:
+    """One row of ``docs`` of each component: of the least id, which a null one is only among null ids.
+
+    Of rows with that id the one with the least hash of its text stays; of rows with equal id and text any one.
+    """
+    given = (F.col(doc_id).isNull(), F.col(doc_id), F.col(text).isNull(), F.col(text))
+    keys = [F.xxhash64(*given).alias("_key"), F.xxhash64(F.lit(1), *given).alias("_key2")]
+    printed = through_storage(
+        add_fingerprint(docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text"), *keys), "_text", shingle=shingle).drop("_text"),
+        "fingerprints",
+    )
+    least = F.min(F.struct(F.col("_id").isNull().alias("null"), "_id", "_key", "_key2")).alias("row")
+    classes = through_storage(printed.groupBy("print").agg(least), "fingerprint-classes")
+    kept = _grouped(classes, distance).groupBy("component").agg(F.min("row").alias("row")).select("row._key", "row._key2")
+    rows = docs.select(F.struct("*").alias("_doc"), *keys).join(kept.distinct(), ["_key", "_key2"])
+    return rows.dropDuplicates(["_key", "_key2"]).select("_doc.*")

@@ -118,3 +118,10 @@ def test_forest_recall(spark):
     got, expected, total = check_vectors(spark, [list(v) for v in [*base, *near]], leaf=40)
     assert sum(n for n, _, _ in got.values()) >= 0.9 * total
     assert all(got[i][0] <= expected[i][0] for i in got)
+
+
+def test_one_row_of_each_component_stays(spark):
+    words = [" ".join(f"{w}{i}" for i in range(60)) for w in "abcd"]
+    rows = [(1, words[0]), (1, words[0]), (2, words[0]), (2, words[1]), (None, words[1]), (None, words[2]), (None, words[2]), (3, words[3]), (3, words[0])]
+    kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.text, r.doc_id) for r in kept) == [(words[0], 1), (words[1], 2), (words[2], None), (words[3], 3)]

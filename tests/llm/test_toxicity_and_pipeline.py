@@ -60,3 +60,10 @@ def test_stages_keep_their_promises(spark):
             assert out.columns == columns
         docs, before = out, after
     assert {r.doc_id for r in corpus_pipeline.run(spark, FOLDER).collect()} == before
+
+
+def test_documents_stay_where_nothing_could_be_learned(spark, docs_of, tmp_path):
+    docs = docs_of([f"text number {i} of some" for i in range(40)])
+    for name, rows in {"none": [], "null": [(i, None) for i in range(40)], "others": [(i + 900, i % 2) for i in range(40)], "toxic": [(i, 1) for i in range(40)]}.items():
+        spark.createDataFrame(rows, "doc_id long, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        assert corpus_pipeline.drop_toxic(spark, docs, f"{tmp_path}/{name}").count() == 40, name
