@@ -14,7 +14,9 @@ from regidx.llm.blocks import by_group, merge, split_groups
 from regidx.llm.components import components
 from regidx.session import through_storage
 
-COSINE, TREES, LEAF = 0.9, 7, 400
+COSINE, LEAF = 0.9, 400
+#: Trees at least; more are grown until at most MISSED of PLANTED pairs just at the threshold meet in no tree.
+TREES, PLANTED, MISSED = 7, 2_000, 0.001
 #: Vectors within this many deviations of a linked pair's difference from a split go to both sides.
 SPILL = 0.4
 #: Distinct vectors that thresholds are learned from; nodes with fewer of them than LEARN split at the level's median.
@@ -57,6 +59,41 @@ def route(units: np.ndarray, levels, tree: int, cosine: float) -> tuple[np.ndarr
     return rows, node
 
 
+def planted(units: np.ndarray, cosine: float, n: int = PLANTED, seed: int = 20260) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of ``units`` with partners that have just the given cosine to them, in directions drawn from a seed."""
+    rng = np.random.default_rng([seed, units.shape[1]])
+    one = units[rng.integers(0, len(units), n)]
+    aside = rng.normal(size=one.shape)
+    aside -= (aside * one).sum(axis=1, keepdims=True) * one
+    long = np.linalg.norm(aside, axis=1, keepdims=True)
+    aside = np.divide(aside, long, out=np.zeros_like(aside), where=long > 1e-9)
+    return one, units_of(cosine * one + np.sqrt(max(0.0, 1 - cosine**2)) * aside)
+
+
+def meet(one: np.ndarray, other: np.ndarray, levels, tree: int, cosine: float) -> np.ndarray:
+    """Which of the pairs (one[i], other[i]) share a leaf of the tree."""
+    (row, leaf), (row2, leaf2) = (route(side, levels, tree, cosine) for side in (one, other))
+    both = np.intersect1d((row << len(levels)) | leaf, (row2 << len(levels)) | leaf2)
+    met = np.zeros(len(one), bool)
+    met[both >> len(levels)] = True
+    return met
+
+
+def learn_forest(sample: np.ndarray, depth: int, cosine: float, trees: int = TREES) -> list:
+    """Trees, ``trees`` at least, until pairs planted in the sample at the threshold meet but for the share MISSED.
+
+    What a tree separates grows with its depth, and the closer the vectors lie at a split the more: planted pairs
+    measure both, so the bound is the same for any input.
+    """
+    one, other = planted(sample, cosine)
+    forest, apart = [], np.ones(len(one), bool)
+    while len(forest) < trees or apart.mean() > MISSED:
+        tree = len(forest)
+        forest.append(learn_tree(sample, tree, depth))
+        apart[apart] = ~meet(one[apart], other[apart], forest[-1], tree, cosine)
+    return forest
+
+
 def units_of(vectors: np.ndarray) -> np.ndarray:
     """Unit vectors; a power of two first brings huge and tiny ones to where squares neither overflow nor vanish."""
     vectors = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
@@ -115,7 +152,8 @@ def near_vectors(
     row's own. Other columns are dropped; repeated ids are rows of their own.
 
     The search is approximate, the links are exact: a pair is compared if any tree has it in
-    one leaf. Each vector is sent to every leaf it spills into (about trees * 1.14**depth).
+    one leaf. There are ``trees`` at least, and as many as ``learn_forest`` needs at this depth. Each vector is sent
+    to every leaf it spills into (about trees * 1.14**depth, more if the vectors lie close).
     """
     x = F.col(vector).cast("array<double>")
     finite = F.forall(x, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), F.lit(False)))
@@ -134,7 +172,7 @@ def near_vectors(
         units = units_of(np.stack(sample["v"].to_numpy()))
         # Spilled leaves hold n * 1.14**depth / 2**depth vectors.
         depth = max(0, ceil(log2(n / leaf) / (1 - log2(1.14)))) if n > leaf else 0
-        forest[size] = [learn_tree(units, tree, depth) for tree in range(trees)]
+        forest[size] = learn_forest(units, depth, cosine, trees)
     shared = vectors.sparkSession.sparkContext.broadcast(forest)
 
     def to_leaves(batches):
@@ -145,9 +183,10 @@ def near_vectors(
                 part = frame[sizes == size]
                 units = units_of(np.stack(part["v"].to_numpy()).astype(np.float64))
                 found = []
-                for tree, levels in enumerate(shared.value[size]):
+                of_size = shared.value[size]
+                for tree, levels in enumerate(of_size):
                     row, node = route(units, levels, tree, cosine)
-                    found.append((row, node * trees + tree))
+                    found.append((row, node * len(of_size) + tree))
                 row = np.concatenate([r for r, _ in found])
                 leaves = np.concatenate([n for _, n in found])
                 order = np.lexsort((leaves, row))

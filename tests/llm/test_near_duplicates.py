@@ -5,7 +5,7 @@ import pytest
 import xxhash
 
 from regidx.llm.components import components
-from regidx.llm.embedding_dedup import near_vectors
+from regidx.llm.embedding_dedup import learn_forest, meet, near_vectors, planted, units_of
 from regidx.llm.simhash import anchors, fingerprint, keep_one, near_duplicates
 
 
@@ -125,3 +125,20 @@ def test_one_row_of_each_component_stays(spark):
     rows = [(1, words[0]), (1, words[0]), (2, words[0]), (2, words[1]), (None, words[1]), (None, words[2]), (None, words[2]), (3, words[3]), (3, words[0])]
     kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted((r.text, r.doc_id) for r in kept) == [(words[0], 1), (words[1], 2), (words[2], None), (words[3], 3)]
+
+
+@pytest.mark.parametrize("common", [0.0, 0.8])
+def test_forest_is_grown_to_its_depth(common):
+    rng = np.random.default_rng(6)
+    spread = rng.normal(size=(24_000, 64)) / 8
+    ray = np.zeros(64)
+    ray[0] = 1
+    units = units_of(np.sqrt(common) * ray + np.sqrt(1 - common) * spread)
+    forest = learn_forest(units[:20_000], 16, 0.9)
+    met = np.zeros(4_000, bool)
+    one, other = planted(units[20_000:], 0.905, len(met), seed=8)
+    for tree, levels in enumerate(forest):
+        met |= meet(one, other, levels, tree, 0.9)
+        if tree == 6:
+            assert met.mean() < 0.997  # what the fixed number of trees found
+    assert len(forest) > 7 and met.mean() >= 0.997
