@@ -9,7 +9,10 @@ from regidx.llm import (
     chat_format,
     decontaminate,
     embedding_dedup,
+    importance,
+    lexical_rank,
     line_dedup,
+    mixing,
     secrets,
     simhash,
     substring_dedup,
@@ -72,6 +75,22 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = mixing.measured(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
+    return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return importance.resample(docs, table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_features", "weight", "score", "rank"
+    )
+
+
+def op13_lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_rank.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 OP1_SQL = f"""
@@ -112,6 +131,87 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM t GROUP BY conv_id
 """  # noqa: S608
 
+SPACED = r"[^\x20\x09-\x0D]+"
+_W = list(mixing.WEIGHTS)
+_CELLS = f"greatest(1, (SELECT count(*) + {mixing.CELL_ROWS - 1} FROM documents) // {mixing.CELL_ROWS})"
+_CUT = "CASE WHEN {0} > 0 THEN greatest(1, round(({0}) / {1}))::BIGINT ELSE 0 END"
+OP11_SQL = f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{SPACED}'))::BIGINT AS size,
+      ('0x' || left(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, md5(text), '')), 15))::BIGINT AS draw FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place
+      FROM d GROUP BY source),
+w AS (SELECT *, ({_W})[place % {len(_W)} + 1] AS weight, {mixing.CAP} * source_size AS most FROM s),
+v AS (SELECT *, ((sum(source_size) OVER () - (sum(most) OVER r - most))::DOUBLE
+      / (sum(weight) OVER () - (sum(weight) OVER r - weight))::DOUBLE) AS level FROM w
+      WINDOW r AS (ORDER BY most / weight, place ROWS UNBOUNDED PRECEDING)),
+u AS (SELECT level AS water FROM v WHERE level * weight <= most ORDER BY most / weight, place LIMIT 1),
+t AS (SELECT *, least(most::DOUBLE, weight * water) AS target FROM v, u),
+p AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE least({mixing.CAP}, floor(target / source_size)) END::BIGINT AS passes FROM t),
+q AS (SELECT *, CASE WHEN passes < {mixing.CAP} THEN round(target - passes * source_size) ELSE 0 END::BIGINT AS rest FROM p),
+b AS (SELECT *, {_CUT.format("rest", mixing.BLOCK_WORDS)} AS near, {_CUT.format("source_size - rest", mixing.BLOCK_WORDS)} AS far FROM q),
+l AS (SELECT d.*, sum(size) OVER (PARTITION BY source ORDER BY draw % {_CELLS}, draw, doc_id, size ROWS UNBOUNDED PRECEDING)
+      AS upto FROM d),
+m AS (SELECT l.*, b.* EXCLUDE (source), (2 * upto - size)::BIGINT AS middle FROM l JOIN b ON l.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, source_size, target, (size * (passes + (middle < 2 * rest)::BIGINT))::BIGINT AS taken FROM m
+"""  # noqa: S608
+
+
+def _crc_table() -> list[int]:
+    """The checksum of each byte: eight steps of division by the polynomial 0xEDB88320."""
+
+    def step(value: int) -> int:
+        return value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+
+    out = []
+    for value in range(256):
+        for _ in range(8):
+            value = step(value)
+        out.append(value)
+    return out
+
+
+_B = importance.BUCKETS
+_BYTES = "list_transform(range(0, strlen(f)), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::UBIGINT)"
+_RUN = "list_reduce({0}, lambda c, b: xor(c >> 8, ({1})[((xor(c, b) & 255) + 1)::BIGINT]), 4294967295::UBIGINT)"
+OP12_SQL = f"""
+WITH a AS (SELECT doc_id AS id, 0 AS side, text FROM documents UNION ALL SELECT item_id, 1, text FROM benchmark),
+w AS (SELECT id, side, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '{WORD}') AS w FROM a),
+g AS (SELECT id, side, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w),
+each AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM g)),
+crc AS (SELECT f, (xor({_RUN.format(_BYTES, str(_crc_table()) + "::UBIGINT[]")}, 4294967295::UBIGINT) % {_B})::BIGINT AS bucket FROM each),
+n AS (SELECT id, side, bucket FROM g JOIN crc USING (f)),
+c AS (SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM n GROUP BY bucket),
+z AS (SELECT sum(s)::DOUBLE AS ss, sum(t)::DOUBLE AS tt FROM c),
+gain AS (SELECT bucket, floor(1000.0::DOUBLE * ln(((t + 1)::DOUBLE * (ss + {_B})) / ((s + 1)::DOUBLE * (tt + {_B}))))::BIGINT AS gain FROM c, z),
+d AS (SELECT id, count(*) AS n, sum(gain) AS total FROM n JOIN gain USING (bucket) WHERE side = 0 GROUP BY id),
+o AS (SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features,
+      coalesce(floor(total::DOUBLE / n), 0)::BIGINT AS weight,
+      ('0x' || left(sha256('{importance.SEED}:' || doc_id), 8))::UBIGINT::DOUBLE AS h
+      FROM documents LEFT JOIN d ON doc_id = id),
+r AS (SELECT *, weight + floor(-1000.0::DOUBLE * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score,
+      n_features >= {2 * importance.LEAST_WORDS - 1} AS able FROM o),
+k AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place,
+      {importance.PERCENT} * (sum(able::INT) OVER ()) // 100 AS drawn FROM r)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= drawn THEN place END::BIGINT AS rank FROM k
+"""  # noqa: S608
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+OP13_SQL = f"""
+WITH d AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '{TERM}')) AS term
+      FROM documents),
+tf AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM d GROUP BY ALL),
+n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+c AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS length FROM n),
+w AS (SELECT term, floor(1000.0::DOUBLE * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+      FROM tf, c GROUP BY term, docs),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '{TERM}')) AS term
+      FROM benchmark),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // length))))::BIGINT AS score
+      FROM i JOIN w USING (term) JOIN tf USING (term) JOIN n USING (doc_id), c GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= {lexical_rank.KEPT}
+"""  # noqa: S608
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_line_dedup": op2_line_dedup,
@@ -123,5 +223,14 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_secrets": op9_secrets,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_mix_sources": op11_mix_sources,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_lexical_rank": op13_lexical_rank,
+}
+SQL = {
+    "op1_decontaminate": OP1_SQL,
+    "op3_chat_format": OP3_SQL,
+    "op11_mix_sources": OP11_SQL,
+    "op12_importance_resampling": OP12_SQL,
+    "op13_lexical_rank": OP13_SQL,
 }
-SQL = {"op1_decontaminate": OP1_SQL, "op3_chat_format": OP3_SQL}
