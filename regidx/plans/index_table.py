@@ -1,8 +1,9 @@
-"""The index: a Parquet table partitioned by source and key bucket.
+"""The index: versioned Parquet files by source and key bucket.
 
-``source`` makes replacing or deleting a source a partition operation.
-``key_bucket`` (a hash of the company key) splits a large source, bounds what an
-upsert rewrites to the buckets it touches, and lets a key lookup read one bucket.
+A change adds files and publishes a new version as its last step, so a job that fails
+leaves the version before. ``source`` lets a source be replaced or deleted without touching
+data; ``key_bucket`` (a hash of the company key) splits a large source and lets a key lookup
+read one bucket. An upsert rewrites the files that hold one of its keys and adds the rest.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ from regidx.functions.vectors import l2_norm
 from regidx.operators.keyed import best_per_group, source_ordinal
 from regidx.operators.predicates import key_bucket
 from regidx.schemas import INDEX
-from regidx.session import empty_frame, matching_paths, remove_path, scratch_path, through_storage
+from regidx.plans.snapshots import Snapshots
+from regidx.session import through_storage
 
 KEY = ["cnpj", "text_md5"]
-NO_SOURCE = "__HIVE_DEFAULT_PARTITION__"
+#: Rows of a data file at most (some 100 MB of vectors).
+FILE_ROWS = 65_536
 
 
 def index_rows(chunks: DataFrame, buckets: int, created_at: datetime | None = None) -> DataFrame:
@@ -45,111 +48,124 @@ def index_rows(chunks: DataFrame, buckets: int, created_at: datetime | None = No
     ).select(*INDEX.names)
 
 
-def merge_rows(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+def once_per_key(incoming: DataFrame) -> DataFrame:
+    """A batch that repeats a key counts once; the earliest source in registry order wins."""
+    return best_per_group(incoming, KEY, [source_ordinal(F.col("source")).asc_nulls_last(), F.to_json("metadata").asc()], 1)
+
+
+def merge_rows(existing: DataFrame, once: DataFrame, stamps: DataFrame) -> DataFrame:
     """Upsert result on (key, text digest): new vector and metadata, original ``created_at``.
 
-    The existing side is only filtered, never aggregated, so its wide rows move
-    only when the incoming keys are too many to broadcast. A batch that repeats a
-    key counts once; the earliest source in registry order wins.
+    ``stamps`` has the first ``created_at`` of the keys known so far. The existing side is only filtered, never
+    aggregated, so its wide rows move only when the incoming keys are too many to broadcast.
     """
-    once = best_per_group(incoming, KEY, [source_ordinal(F.col("source")).asc_nulls_last(), F.to_json("metadata").asc()], 1)
-    known = existing.select(*KEY, "created_at").join(once.select(*KEY), KEY, "left_semi")
-    stamps = known.groupBy(*KEY).agg(F.min("created_at").alias("first_seen"))
-    updated = once.join(stamps, KEY, "left").withColumn(
-        "created_at", F.coalesce("first_seen", "created_at")
-    )
+    updated = once.join(stamps, KEY, "left").withColumn("created_at", F.coalesce("first_seen", "created_at"))
     kept = existing.join(once.select(*KEY), KEY, "left_anti")
     return kept.select(*INDEX.names).unionByName(updated.select(*INDEX.names))
 
 
 class IndexTable:
-    """Batch operations on one index table."""
+    """Batch operations on one index table. Each change is one new version, or none at all if it fails."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64) -> None:
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, file_rows: int = FILE_ROWS) -> None:
+        self.spark, self.path, self.buckets, self.file_rows = spark, path.rstrip("/"), buckets, file_rows
+        self.snapshots = Snapshots(spark, self.path, INDEX)
 
     def create(self) -> IndexTable:
         """Create the table if it is absent."""
-        if not matching_paths(self.spark, self.path):
-            self._append(empty_frame(self.spark, INDEX))
+        if not self.snapshots.current():
+            self.snapshots.publish(self.snapshots.manifest(), 0)
         return self
 
-    def read(self) -> DataFrame:
-        if not matching_paths(self.spark, f"{self.path}/source=*"):
-            return empty_frame(self.spark, INDEX)
-        rows = self.spark.read.schema(INDEX).option("basePath", self.path).parquet(self.path)
-        return rows.select(*INDEX.names)
+    def read(self, version: int | None = None) -> DataFrame:
+        """The rows of a version, the newest one if None; later changes do not alter the frame."""
+        return self.snapshots.rows(self.snapshots.manifest(version))
 
     def lookup(self, key: str) -> DataFrame:
-        """Rows of one company: digits only, first 14; reads a single bucket."""
+        """Rows of one company: digits only, first 14; reads the files of its bucket whose range covers it."""
         digits = "".join(ch for ch in key if ch.isdigit())[:14]
-        bucket = key_bucket(F.lit(digits), self.buckets)
-        return self.read().filter((F.col("key_bucket") == bucket) & (F.col("cnpj") == digits))
+        bucket = F.col("key_bucket") == key_bucket(F.lit(digits), self.buckets)
+        files = self.snapshots.manifest().where(bucket & F.lit(digits).between(F.col("low"), F.col("high")))
+        return self.snapshots.rows(files).where(bucket & (F.col("cnpj") == digits))
+
+    def files(self, version: int | None = None) -> DataFrame:
+        """The live data files with source, bucket, rows and key range."""
+        return self.snapshots.manifest(version)
 
     # --- changes ---------------------------------------------------------------
     def upsert(self, chunks: DataFrame, created_at: datetime | None = None) -> int:
         """Insert or update embedded chunks; returns the number of rows in the batch."""
-        staged = self._stage(index_rows(chunks, self.buckets, created_at), "batch")
-        touched = [row.key_bucket for row in staged.select("key_bucket").distinct().collect()]
-        if not touched:
-            return 0
-        existing = self.read().filter(F.col("key_bucket").isin(touched))
-        before = {(row.source, row.key_bucket) for row in existing.select("source", "key_bucket").distinct().collect()}
-        merged = self._stage(merge_rows(existing, staged), "merged")
-        after = {(row.source, row.key_bucket) for row in merged.select("source", "key_bucket").distinct().collect()}
-        self._overwrite_partitions(merged)
-        for source, bucket in before - after:  # every row of the partition moved to another source
-            remove_path(self.spark, f"{self._source_path(source)}/key_bucket={bucket}")
-        return staged.count()
+        version = self.snapshots.current()
+        return self._merge(chunks, created_at, version, self.snapshots.manifest(version))
+
+    def _merge(self, chunks: DataFrame, created_at: datetime | None, version: int, manifest: DataFrame) -> int:
+        """Publish ``manifest`` with the chunks upserted, as the version after ``version``."""
+        staged = through_storage(index_rows(chunks, self.buckets, created_at), "batch")
+        total = staged.count()
+        if total:
+            changed, rows = self._changes(manifest, once_per_key(staged))
+            manifest = manifest.join(changed, "file", "left_anti").unionByName(self.snapshots.write(rows, self.file_rows))
+        self.snapshots.publish(manifest, version)
+        return total
+
+    def _changes(self, manifest: DataFrame, once: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The names of the files that hold a key of the batch, and the rows that take their place."""
+        if manifest.isEmpty():
+            return manifest.select("file"), once
+        keys = through_storage(once.select(*KEY, "key_bucket"), "batch-keys")
+        # Bloom filters leave few files to look into; there, only key columns are read.
+        candidates = self.snapshots.rows(self.snapshots.may_hold(manifest, keys), with_file=True)
+        known = candidates.select(*KEY, "created_at", "_file").join(keys.select(*KEY), KEY, "left_semi")
+        known = through_storage(known, "batch-known")
+        stamps = known.groupBy(*KEY).agg(F.min("created_at").alias("first_seen"))
+        changed = known.select(F.col("_file").alias("file")).distinct()
+        return changed, merge_rows(self.snapshots.rows(manifest.join(changed, "file", "left_semi")), once, stamps)
 
     def delete_source(self, source: str) -> int:
-        """Drop one source; returns how many rows it had."""
-        removed = self.read().filter(F.col("source") == source).count()
-        remove_path(self.spark, self._source_path(source))
+        """Drop one source; returns how many rows it had. No data file is read or written."""
+        version = self.snapshots.current()
+        manifest = self.snapshots.manifest(version)
+        mine = F.col("source").eqNullSafe(F.lit(source))
+        removed = manifest.where(mine).agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+        self.snapshots.publish(manifest.where(~mine), version)
         return removed
 
     def replace_sources(
         self, chunks: DataFrame, sources: list[str], created_at: datetime | None = None, allow_empty: bool = False
     ) -> int:
-        """Drop the named sources, then load the chunks; other sources stay.
+        """Drop the named sources and load the chunks in one step; other sources stay.
 
-        The new rows are computed and stored before anything is dropped, so they may come out of this very
-        table. A named source without a new row keeps its old ones, unless ``allow_empty`` is set.
+        The new rows may come out of this very table. A named source without a new row keeps its old ones, unless
+        ``allow_empty`` is set.
         """
+        version = self.snapshots.current()
         staged = through_storage(chunks, "replacement")
-        filled = {row.source for row in staged.select("metadata.source").distinct().collect()}
-        for source in sources:
-            if allow_empty or source in filled:
-                self.delete_source(source)
-        return self.upsert(staged, created_at)
+        filled = {row.source for row in staged.select("metadata.source").where(F.col("source").isin(sources)).distinct().collect()}
+        dropped = [source for source in sources if allow_empty or source in filled]
+        manifest = self.snapshots.manifest(version)
+        manifest = manifest.where(~F.coalesce(F.col("source").isin(dropped), F.lit(False))) if dropped else manifest
+        return self._merge(staged, created_at, version, manifest)
 
     def truncate(self) -> None:
-        for path in matching_paths(self.spark, f"{self.path}/source=*"):
-            remove_path(self.spark, path)
-
-    # --- storage ---------------------------------------------------------------
-    def _source_path(self, source: str | None) -> str:
-        # Hadoop escapes these characters in partition folder names.
-        name = NO_SOURCE if source is None else source
-        escaped = "".join(f"%{ord(ch):02X}" if ch in "\"#%'*/:=?\\{[]^" or ord(ch) < 32 else ch for ch in name)
-        return f"{self.path}/source={escaped}"
-
-    def _stage(self, rows: DataFrame, label: str) -> DataFrame:
-        """A stored copy in the shared folder, so the table is never read while it is rewritten."""
-        path = scratch_path(self.spark, label)
-        rows.write.parquet(path)
-        return self.spark.read.schema(INDEX).parquet(path)
-
-    def _spread(self, rows: DataFrame) -> DataFrame:
-        """Few files per partition; large partitions are split over several tasks."""
-        return rows.hint("rebalance", F.col("source"), F.col("key_bucket")).sortWithinPartitions(
-            "source", "key_bucket", "cnpj"
-        )
-
-    def _overwrite_partitions(self, rows: DataFrame) -> None:
-        writer = self._spread(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("source", "key_bucket").parquet(self.path)
-
-    def _append(self, rows: DataFrame) -> None:
-        rows.write.mode("append").partitionBy("source", "key_bucket").parquet(self.path)
-
+        version = self.snapshots.current()
+        self.snapshots.publish(self.snapshots.manifest(version).limit(0), version)
+
+    # --- upkeep ----------------------------------------------------------------
+    def compact(self, most_files: int = 8) -> int:
+        """Rewrite the buckets of a source that have more than ``most_files`` files; returns how many files went."""
+        version = self.snapshots.current()
+        manifest = self.snapshots.manifest(version)
+        full = F.ceil(F.sum("rows") / self.file_rows)
+        crowded = manifest.groupBy("source", "key_bucket").agg(F.count("*").alias("n"), full.alias("least"))
+        crowded = crowded.where(F.col("n") > F.greatest(F.lit(most_files), F.col("least")))
+        same = crowded["source"].eqNullSafe(manifest["source"]) & (crowded["key_bucket"] == manifest["key_bucket"])
+        old = manifest.join(crowded, same, "left_semi")
+        gone = old.count()
+        if gone:
+            added = self.snapshots.write(self.snapshots.rows(old), self.file_rows)
+            self.snapshots.publish(manifest.join(old.select("file"), "file", "left_anti").unionByName(added), version)
+        return gone
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Delete data files that the newest ``keep`` versions no longer use; readers of older versions fail after that."""
+        return self.snapshots.vacuum(keep)

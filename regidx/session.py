@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
@@ -86,5 +87,29 @@ def remove_path(spark: SparkSession, path: str) -> bool:
     return fs.delete(hadoop_path, True)
 
 
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file; False, and nothing changed, if it is there already."""
+    fs, hadoop_path = _hadoop_path(spark, path)
+    fs.mkdirs(hadoop_path.getParent())
+    try:
+        stream = fs.create(hadoop_path, False)
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    return True
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, hadoop_path = _hadoop_path(spark, path)
+    stream = fs.open(hadoop_path)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def empty_frame(spark: SparkSession, schema) -> DataFrame:
     return spark.createDataFrame([], schema)

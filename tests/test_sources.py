@@ -146,9 +146,11 @@ def test_ranking_limits_rows_before_the_shuffle(spark):
 
 def test_filters_reach_the_index_scan(spark, tmp_path):
     table = IndexTable(spark, str(tmp_path / "index"), 4).create()
-    spark.range(1).write.mode("append").parquet(str(tmp_path / "index" / "source=cvm" / "key_bucket=1"))
-    plan = table.lookup("00000000000191")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(key_bucket" in plan and "EqualTo(cnpj,00000000000191)" in plan
+    (tmp_path / "raw").mkdir()
+    build_index(spark, write_landing(tmp_path / "raw", offices=True), table, encoder=hashed_trigrams(16))
+    key = table.read().first().cnpj
+    plan = table.lookup(key)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(key_bucket" in plan and f"EqualTo(cnpj,{key})" in plan
 
 
 def test_shared_folder_is_required_on_a_cluster(monkeypatch):
