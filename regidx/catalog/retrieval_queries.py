@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from regidx.catalog import standins as S
 from regidx.catalog.registry_queries import COMPANIES_SQL
-from regidx.catalog.sqltext import amount, grams, word_similarity_ctes
+from regidx.catalog.sqltext import amount, grams, head_office_key, masked, word_similarity_ctes
 from regidx.fixed import NO_CONTEXT_ANSWER, SYSTEM_PROMPT
+from regidx.functions.keys import key_mask, with_company_key
 from regidx.functions.trigrams import similarity, trigram_set, word_similarity
 from regidx.operators.cells import assign_cells, probe_cells, train_centroids
 from regidx.operators.embedding import add_embedding
 from regidx.plans.prompts import contexts, prompt_rows
-from regidx.plans.search import flat_hits, hybrid_hits
+from regidx.plans.search import flat_hits, hybrid_hits, search
 from regidx.session import through_storage
 
 QUERIES: dict[str, tuple] = {}
@@ -137,7 +138,7 @@ HYBRID_SQL = f"""WITH {COMPANIES_SQL},
     idx AS (SELECT cnpj, razao_social AS name, size, embedding,
         'Empresa: ' || razao_social || '. CNPJ: ' || cnpj || '. Situacao: NAO INFORMADO. CNAE: NAO INFORMADO. Porte: '
         || size || '. UF: NAO INFORMADO. Capital: R$ ' || {amount('capital_social_num')} AS text
-        FROM shown JOIN embeddings ON c_custkey = vec_id),
+        FROM shown JOIN embeddings ON vec_id = c_custkey % (SELECT count(*) FROM embeddings)),
     {centroid_sql('idx', 'size', 'c')},
     asked AS (SELECT c.size AS query_id, v, (SELECT min(name) FROM idx i WHERE i.size = c.size) AS term FROM c),
     both_sides AS (SELECT query_id, cnpj, name, text, term, idx.size,
@@ -188,6 +189,46 @@ def hybrid_filtered(spark, folder) -> DataFrame:
     return _hit_columns(hybrid_hits(index, S.size_queries(index), 10))
 
 
+ROUTED_SQL = (
+    HYBRID_SQL[: HYBRID_SQL.index("asked AS (")]
+    + f"""
+    asks AS (SELECT s_suppkey, CAST(s_suppkey AS VARCHAR) AS query_id, s_suppkey % 8 AS kind,
+             {head_office_key("lpad(CAST(s_suppkey AS VARCHAR), 8, '0')")} AS known,
+             {head_office_key("CAST(99000000 + s_suppkey AS VARCHAR)")} AS unknown FROM supplier),
+    texts AS (SELECT query_id, kind, known, i.size, i.embedding AS v, CASE
+                 WHEN kind = 1 THEN 'quem e ' || {masked("unknown")} || '?' WHEN kind = 2 THEN i.name END AS term
+              FROM asks JOIN idx i ON i.cnpj = known),
+    exact AS (SELECT query_id, 1 AS rank, cnpj, name AS razao_social, 1.0 AS score, 0.0 AS vector_score, 0.0 AS name_score,
+                     0.0 AS text_score, 0 AS prefix_hit, 'cnpj_exato' AS match_type
+              FROM texts JOIN idx ON cnpj = known WHERE kind NOT IN (1, 2, 3, 7)),
+    asked AS (SELECT query_id, CAST(v AS DOUBLE[]) AS v, term, size AS own FROM texts WHERE term IS NOT NULL),"""
+    + HYBRID_SQL[HYBRID_SQL.index("both_sides AS (") :].replace("__WHERE__", "own = idx.size")
+)
+
+
+@query("search_routed", f"{ROUTED_SQL} SELECT * FROM exact UNION ALL ({HIT_SQL.replace('<= 10', '<= 5')})")
+def search_routed(spark, folder) -> DataFrame:
+    """The whole search for one table of questions: masked and bare keys, unknown keys, names and blanks."""
+    index = _stored_vectors(spark, folder)
+    suppliers = S.table(spark, folder, "supplier").select("s_suppkey", (F.col("s_suppkey") % 8).alias("kind"))
+    keyed = with_company_key(suppliers.withColumn("root", F.lpad(F.col("s_suppkey").cast("string"), 8, "0")), "root", "known")
+    keyed = with_company_key(keyed.withColumn("root", (F.col("s_suppkey") + 99000000).cast("string")), "root", "unknown")
+    own = index.select(F.col("cnpj").alias("known"), F.col("metadata.razao_social").alias("name"), "size", "embedding")
+    kind = F.col("kind")
+    text = (
+        F.when(kind == 1, F.concat(F.lit("quem e "), key_mask(F.col("unknown")), F.lit("?")))
+        .when(kind == 2, F.concat(F.lit("  "), "name", F.lit(" ")))
+        .when(kind == 3, "   ")
+        .when(kind == 7, F.lit(None))
+        .when(kind == 4, F.concat(F.lit("cnpj "), "known"))
+        .otherwise(F.concat(F.lit("quem e "), key_mask(F.col("known")), F.lit("?")))
+    )
+    queries = keyed.join(own, "known").select(
+        F.col("s_suppkey").cast("string").alias("query_id"), text.alias("text"), F.col("size").alias("porte"), "embedding"
+    )
+    return _hit_columns(search(index, queries, 5))
+
+
 @query("lexical_topk_documents")
 def lexical_topk_documents(spark, folder) -> DataFrame:
     """Benchmark passages against whole documents by word similarity."""

@@ -190,11 +190,17 @@ def label_queries(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def with_vectors(rows: DataFrame, number: Column, vectors: DataFrame) -> DataFrame:
+    """``rows`` with the ``embedding`` whose id is ``number`` modulo the number of vectors."""
+    count = vectors.agg(F.count("*").alias("_vectors"))  # one row
+    dealt = rows.join(F.broadcast(count)).withColumn("vec_id", F.pmod(number, F.col("_vectors"))).drop("_vectors")
+    return dealt.join(vectors.select("vec_id", "embedding"), "vec_id")
+
+
 def company_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    """Customers that have a vector, as index rows with names and rendered texts."""
+    """All customers as index rows with names and rendered texts; the vectors are dealt to them in turn."""
     companies = registry_to_chunks(standardise_companies(raw_companies(spark, folder)), keys_checked=True)
-    rows = companies.withColumn("vec_id", F.left("cnpj", F.lit(8)).cast("long"))
-    return rows.join(table(spark, folder, "embeddings"), "vec_id").select(
+    return with_vectors(companies, F.left("cnpj", F.lit(8)).cast("long"), table(spark, folder, "embeddings")).select(
         F.md5(F.concat("cnpj", "text")).alias("chunk_id"),
         "cnpj",
         F.col("text").alias("text_chunk"),

@@ -14,7 +14,10 @@ from regidx.plans.chunks import registry_to_chunks
 from regidx.plans.index_table import IndexTable, index_rows
 from regidx.plans.listing import company_items, company_page, company_page_after, latest_companies
 from regidx.plans.prompts import build_prompts, prompt_rows
-from regidx.plans.search import flat_hits, hybrid_hits, query_blocks, search
+from regidx.operators import hybrid
+from regidx.operators.query_blocks import store_queries, stream_queries
+from regidx.plans import search as search_plan
+from regidx.plans.search import flat_hits, hybrid_hits, search, usable_queries
 from regidx.plans.statistics import stats_record
 from regidx.streaming.ingest import chunk_stream, keep_index_current
 from test_trigrams import all_stretches
@@ -122,11 +125,32 @@ def test_hybrid_equals_full_evaluation(spark, index, spread):
         assert np.allclose([g[2] for g in got], [e[2] for e in expected], atol=1.1e-4)
 
 
-def test_query_blocks_are_bounded(spark, index):
+def test_queries_are_streamed_from_storage_in_bounded_blocks(spark):
+    queries = usable_queries(asked(spark).unionByName(asked(spark).withColumn("embedding", F.lit(None).cast("array<float>"))))
+    path = store_queries(queries, 3)
+    blocks = list(stream_queries(path, 2))
+    assert all(0 < len(block) <= 2 for block in blocks)
+    assert sorted(q.query_id for block in blocks for q in block) == sorted("abcd" * 2)
+    assert sum(q.vector is None for block in blocks for q in block) == 4
+
+
+def test_many_queries_take_one_pass_and_no_driver(spark, index, monkeypatch):
+    """More blocks than a task keeps, small slices: the same hits, from one scan of the index."""
+    rows = index.repartition(3)
     queries = asked(spark)
-    blocks = query_blocks(queries, per_block=3)
-    assert len(blocks) > 1 and all(len(block) <= 3 for block in blocks)
-    assert sorted(q.query_id for block in blocks for q in block) == ["a", "b", "c", "d"]
+    few = {(hit.query_id, hit.rank): (hit.cnpj, hit.score) for hit in hybrid_hits(rows, queries, 4).collect()}
+    many = queries.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(60)))).withColumn(
+        "query_id", F.concat_ws("-", "query_id", "copy"))
+    monkeypatch.setattr(hybrid, "KEPT_BLOCKS", 2)
+    monkeypatch.setattr(hybrid, "SLICE_ROWS", 50)
+    monkeypatch.setattr(hybrid, "ROWS_PER_STEP", 20)
+    monkeypatch.setattr(search_plan, "QUERIES_PER_STEP", 7)
+    hits = hybrid_hits(rows, many, 4)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Broadcast" not in plan
+    got = hits.collect()
+    assert len(got) == 60 * len(few)
+    assert all(few[hit.query_id.split("-")[0], hit.rank] == (hit.cnpj, hit.score) for hit in got)
 
 
 def test_blank_text_is_pure_cosine_and_min_score_cuts_after_limit(spark, index):
