@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regidx.fixed import SOURCES, VECTOR_CELLS
-from regidx.operators.cells import train_centroids, write_cells
+from regidx.operators.cells import refresh_statistics, train_centroids, write_cells
 from regidx.operators.embedding import EncoderFactory, add_embedding, sentence_model
 from regidx.plans.chunks import build_chunks
 from regidx.plans.index_table import IndexTable
@@ -54,7 +54,8 @@ def build_index(
         report.indexed = table.upsert(embedded)
     index = table.read()
     if cell_path:
-        write_cells(index, train_centroids(index, cells), cell_path)
+        centroids = train_centroids(index, cells)
+        refresh_statistics(spark, write_cells(index, centroids, cell_path), centroids)
     width = index.select(F.size("embedding")).first()[0]
     report.stats = stats_record(index, width)
     return report

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,11 +12,11 @@ from regidx.catalog.sqltext import amount, grams, head_office_key, masked, word_
 from regidx.fixed import NO_CONTEXT_ANSWER, SYSTEM_PROMPT
 from regidx.functions.keys import key_mask, with_company_key
 from regidx.functions.trigrams import similarity, trigram_set, word_similarity
-from regidx.operators.cells import assign_cells, probe_cells, train_centroids
+from regidx.operators.cells import assign_cells, cell_statistics, read_cells, refresh_statistics, train_centroids, write_cells
 from regidx.operators.embedding import add_embedding
 from regidx.plans.prompts import contexts, prompt_rows
-from regidx.plans.search import flat_hits, hybrid_hits, search
-from regidx.session import through_storage
+from regidx.plans.search import cell_hits, flat_hits, hybrid_hits, recall_by_probes, search
+from regidx.session import scratch_path, through_storage
 
 QUERIES: dict[str, tuple] = {}
 
@@ -78,19 +79,84 @@ def min_score_after_limit(spark, folder) -> DataFrame:
 
 @query("ivf_full_probe_equals_exact", _cosine_sql("true"))
 def ivf_full_probe_equals_exact(spark, folder) -> DataFrame:
-    return _cells(spark, folder, 8, 8)
+    index = S.embedding_index(spark, folder)
+    centroids = train_centroids(index, 8)
+    queries = S.label_queries(spark, folder).select("query_id", "text", "embedding", *_no_filters())
+    return _cosine_columns(_cell_hits(spark, index, centroids, queries, 8))
+
+
+def _cell_hits(spark, index: DataFrame, centroids, queries: DataFrame, probes: int) -> DataFrame:
+    """Search in a stored copy by cells, with its statistics."""
+    path = write_cells(index, centroids, scratch_path(spark, "cells"))
+    statistics = refresh_statistics(spark, path, centroids)
+    return cell_hits(read_cells(spark, path), statistics, queries, centroids, probes, 10)
+
 
+CELL_SQL = f"""WITH {centroid_sql('embeddings', 'label', 'c')},
+    near AS (SELECT vec_id, c.label AS cell, row_number() OVER (PARTITION BY vec_id
+                 ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), v) DESC, c.label) AS place
+             FROM embeddings JOIN c ON true)"""
 
-@query("ivf_topk")
+
+@query(
+    "ivf_topk",
+    f"""{CELL_SQL},
+    pairs AS (SELECT CAST(q.vec_id AS VARCHAR) AS query_id, lpad(CAST(e.vec_id AS VARCHAR), 14, '0') AS cnpj,
+                     list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score
+              FROM embeddings q JOIN near p ON p.vec_id = q.vec_id AND p.place <= 3
+              JOIN near h ON h.cell = p.cell AND h.place = 1 JOIN embeddings e ON e.vec_id = h.vec_id
+              WHERE q.vec_id % 100 = 0)
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cnpj) AS rank, cnpj,
+           round(score, 4) AS score, round(score, 4) AS vector_score FROM pairs
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cnpj) <= 10""",
+)
 def ivf_topk(spark, folder) -> DataFrame:
-    return _cells(spark, folder, 8, 3)
+    """Three of ten given cells probed for each hundredth vector."""
+    index, centroids = S.embedding_index(spark, folder), _label_centroids(spark, folder)
+    return _cosine_columns(_cell_hits(spark, index, centroids, _hundredth_vectors(spark, folder), 3))
 
 
-def _cells(spark, folder, cells: int, probes: int) -> DataFrame:
-    index = S.embedding_index(spark, folder)
-    centroids = train_centroids(index, cells)
-    queries = S.label_queries(spark, folder).select("query_id", "text", "embedding", *_no_filters())
-    return _cosine_columns(hybrid_hits(assign_cells(index, centroids), probe_cells(queries, centroids, probes), 10))
+def _label_centroids(spark, folder) -> np.ndarray:
+    """The means of the ten labels as cells 0 to 9."""
+    means = S.centroids(S.table(spark, folder, "embeddings"), "label").orderBy("label").collect()
+    centroids = np.array([row["embedding"] for row in means])
+    return centroids / np.linalg.norm(centroids, axis=1, keepdims=True)
+
+
+def _hundredth_vectors(spark, folder) -> DataFrame:
+    asked = S.table(spark, folder, "embeddings").where("vec_id % 100 = 0")
+    return asked.select(F.col("vec_id").cast("string").alias("query_id"), F.lit("").alias("text"), "embedding", *_no_filters())
+
+
+@query(
+    "ivf_recall",
+    f"""{CELL_SQL},
+    pairs AS (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY
+                  list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, e.vec_id) AS rank
+              FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0),
+    needed AS (SELECT p.place FROM pairs JOIN near h ON h.vec_id = pairs.vec_id AND h.place = 1
+               JOIN near p ON p.vec_id = query_id AND p.cell = h.cell WHERE rank <= 10)
+    SELECT probes::INT AS probes, round((SELECT count(*) FROM needed WHERE place <= probes) / (SELECT count(*) FROM needed), 6)
+        AS recall FROM range(1, 1 + (SELECT count(DISTINCT label) FROM embeddings)) r(probes)""",
+)
+def ivf_recall(spark, folder) -> DataFrame:
+    """Recall of each number of probes, measured against the exact search."""
+    cells = through_storage(assign_cells(S.embedding_index(spark, folder), centroids := _label_centroids(spark, folder)), "cells")
+    found = recall_by_probes(cells, _hundredth_vectors(spark, folder), centroids)
+    return found.select("probes", F.round("recall", 6).alias("recall"))
+
+
+@query(
+    "cell_statistics",
+    f"""{CELL_SQL} SELECT (row_number() OVER (ORDER BY cell) - 1)::INT AS cell, count(*) AS "rows",
+        round(avg(list_cosine_similarity(CAST(embedding AS DOUBLE[]), v)), 4) AS mean_cosine,
+        round(min(list_cosine_similarity(CAST(embedding AS DOUBLE[]), v)), 4) AS least_cosine
+        FROM near JOIN embeddings USING (vec_id) JOIN c ON c.label = cell WHERE place = 1 GROUP BY cell""",
+)
+def cell_statistics_query(spark, folder) -> DataFrame:
+    index, centroids = S.embedding_index(spark, folder), _label_centroids(spark, folder)
+    found = cell_statistics(assign_cells(index, centroids), centroids)
+    return found.select("cell", "rows", *[F.round(name, 4).alias(name) for name in ("mean_cosine", "least_cosine")])
 
 
 # --- trigrams ------------------------------------------------------------------------

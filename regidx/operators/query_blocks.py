@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
@@ -37,6 +38,21 @@ def _opened(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
 
 
+def queries_of(batch: pa.RecordBatch) -> list[Query]:
+    columns = {field: batch.column(field).to_pylist() for field in ("query_id", "text", *FILTERS)}
+    cells = batch.column("cells").to_pylist() if "cells" in batch.schema.names else None
+    vectors = [None] * batch.num_rows
+    if "embedding" in batch.schema.names:
+        vectors = [
+            np.asarray(value.values, dtype=np.float64) if value.is_valid else None for value in batch.column("embedding")
+        ]
+    return [
+        Query(columns["query_id"][i], columns["text"][i], vectors[i], *(columns[field][i] for field in FILTERS),
+              None if cells is None else frozenset(cells[i] or ()))
+        for i in range(batch.num_rows)
+    ]
+
+
 def stream_queries(path: str, size: int) -> Iterator[list[Query]]:
     """The stored queries in blocks of at most ``size``, in the same order at every call."""
     system, folder = _opened(path)
@@ -44,15 +60,4 @@ def stream_queries(path: str, size: int) -> Iterator[list[Query]]:
     for name in sorted(info.path for info in files if info.path.endswith(".parquet")):
         with system.open_input_file(name) as file:
             for batch in pq.ParquetFile(file).iter_batches(batch_size=size):
-                columns = {field: batch.column(field).to_pylist() for field in ("query_id", "text", *FILTERS)}
-                cells = batch.column("cells").to_pylist() if "cells" in batch.schema.names else None
-                vectors = [None] * batch.num_rows
-                if "embedding" in batch.schema.names:
-                    vectors = [
-                        np.asarray(value.values, dtype=np.float64) if value.is_valid else None for value in batch.column("embedding")
-                    ]
-                yield [
-                    Query(*(columns[f][i] for f in ("query_id", "text")), vectors[i], *(columns[f][i] for f in FILTERS),
-                          None if cells is None else frozenset(cells[i] or ()))
-                    for i in range(batch.num_rows)
-                ]
+                yield queries_of(batch)
