@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from regidx.catalog import standins as S
 from regidx.catalog.registry_queries import ALL_SQL, ROOT
-from regidx.catalog.sqltext import case_map, head_office_key, masked
+from regidx.catalog.sqltext import case_map, head_office_key, masked, word_similarity_ctes
 from regidx.fixed import UNKNOWN_SOURCE
 from regidx.functions.amounts import json_amount
 from regidx.operators.embedding import hashed_trigrams, add_embedding
+from regidx.operators.name_postings import NamePostings
 from regidx.plans import listing, statistics
 from regidx.plans.index_table import IndexTable
 from regidx.plans.search import exact_hits, keyed_queries, known_keys, usable_queries
@@ -120,6 +121,56 @@ def key_pattern_routing(spark, folder) -> DataFrame:
     )
 
 
+# --- names by their trigrams ---------------------------------------------------------------
+_ASKED = """asked AS (SELECT CAST(s_suppkey AS VARCHAR) AS query_id, CASE s_suppkey % 6
+        WHEN 0 THEN right(s_name, 4) WHEN 1 THEN 'PPLIER#_000' || right(s_name, 3) WHEN 2 THEN 'omer%' || right(s_name, 3)
+        WHEN 3 THEN right(s_name, 2) WHEN 4 THEN 'absent ' || s_name ELSE upper(s_name) END AS text FROM supplier)"""
+
+
+def _name_postings(spark, folder) -> NamePostings:
+    return NamePostings(spark, scratch_path(spark, "names"), 16).build(S.chunks(spark, folder))
+
+
+@query(
+    "name_contains_indexed",
+    f"""{ALL_SQL}, {_ASKED} SELECT DISTINCT query_id, razao_social AS name, cnpj FROM asked
+        JOIN chunks ON razao_social ILIKE '%' || asked.text || '%'""",
+)
+def name_contains_indexed(spark, folder) -> DataFrame:
+    """Parts of names, with wildcards, short, absent and whole, in the names of all three registries."""
+    supplier = S.table(spark, folder, "supplier")
+    kind, name = F.col("s_suppkey") % 6, F.col("s_name")
+    text = (
+        F.when(kind == 0, F.right(name, F.lit(4)))
+        .when(kind == 1, F.concat(F.lit("PPLIER#_000"), F.right(name, F.lit(3))))
+        .when(kind == 2, F.concat(F.lit("omer%"), F.right(name, F.lit(3))))
+        .when(kind == 3, F.right(name, F.lit(2)))
+        .when(kind == 4, F.concat(F.lit("absent "), name))
+        .otherwise(F.upper(name))
+    )
+    queries = supplier.select(F.col("s_suppkey").cast("string").alias("query_id"), text.alias("text"))
+    return _name_postings(spark, folder).containing(queries)
+
+
+@query(
+    "name_similar_indexed",
+    f"""{ALL_SQL}, asked AS (SELECT CAST(n_nationkey AS VARCHAR) AS query_id,
+            'supplier ' || lpad(CAST(n_nationkey AS VARCHAR), 9, '0') AS text FROM nation),
+        names AS (SELECT DISTINCT razao_social AS name, cnpj FROM chunks),
+        pairs AS (SELECT query_id || '|' || cnpj || '|' || name AS pid, query_id, cnpj, name, asked.text AS q, name AS t
+                  FROM asked JOIN names ON true),
+        {word_similarity_ctes('pairs', 'w')}
+        SELECT query_id, name, cnpj, round(ws, 6) AS similarity FROM pairs JOIN w USING (pid) WHERE ws >= 0.7""",
+)
+def name_similar_indexed(spark, folder) -> DataFrame:
+    """Names like a supplier's name, by word similarity."""
+    nation = S.table(spark, folder, "nation")
+    text = F.concat(F.lit("supplier "), F.lpad(F.col("n_nationkey").cast("string"), 9, "0"))
+    queries = nation.select(F.col("n_nationkey").cast("string").alias("query_id"), text.alias("text"))
+    found = _name_postings(spark, folder).similar(queries, 0.7)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
 # --- statistics -------------------------------------------------------------------------
 @query("total_rows", "SELECT count(*) AS total_embeddings FROM orders JOIN customer ON o_custkey = c_custkey")
 def total_rows(spark, folder) -> DataFrame:
