@@ -18,7 +18,8 @@ from regidx.plans import listing, statistics
 from regidx.plans.index_table import IndexTable
 from regidx.plans.search import exact_hits, keyed_queries, known_keys, usable_queries
 from regidx.functions.vectors import vector_text
-from regidx.session import scratch_path
+from regidx.session import scratch_path, through_storage
+from regidx.streaming.dedupe import STAMP, first_seen, stamped_chunk_stream
 from regidx.streaming.ingest import chunk_stream, keep_index_current
 
 QUERIES: dict[str, tuple] = {}
@@ -389,3 +390,43 @@ def stream_upsert(spark, folder) -> DataFrame:
         stream = chunk_stream(spark, incoming)
         keep_index_current(stream, table, scratch_path(spark, run), SMALL).awaitTermination()
     return table.read().select("cnpj", "text_md5", "source")
+
+
+# --- streaming de-duplication -----------------------------------------------------------------
+#: Loads: stamp of their rows; in the third one, every seventh row is stamped before the watermark.
+LOADS = ("2026-01-01 00:00:00", "2026-01-01 00:30:00", "2026-01-01 03:00:00", "2026-01-01 03:10:00", "2026-01-01 09:00:00")
+LATE = "2025-12-31 20:00:00"
+
+
+@query(
+    "stream_dedupe",
+    f"""WITH {INDEX_SQL},
+        rows AS (SELECT cnpj, md5(text_chunk) AS text_md5, chunk_id::BIGINT % {len(LOADS)} AS load,
+                        chunk_id::BIGINT % {len(LOADS)} = 2 AND chunk_id::BIGINT % 7 = 0 AS late FROM idx),
+        first AS (SELECT cnpj, text_md5, min(load) AS load FROM rows WHERE NOT late AND load < 4 GROUP BY ALL),
+        -- Before the last load the watermark is 02:10: keys of the first two loads are forgotten, the others are not.
+        again AS (SELECT DISTINCT cnpj, text_md5, 4 AS load FROM rows LEFT JOIN first f USING (cnpj, text_md5)
+                  WHERE rows.load = 4 AND coalesce(f.load, 0) < 2),
+        kept AS (SELECT * FROM first UNION ALL SELECT * FROM again)
+        SELECT cnpj, text_md5, load::INT AS load FROM kept""",
+)
+def stream_dedupe(spark, folder) -> DataFrame:
+    """Orders as five loads of a chunk stream: repeats within the delay and late rows go, forgotten keys come again."""
+    index = S.order_index(spark, folder)
+    number = F.col("chunk_id").cast("long")
+    load = number % len(LOADS)
+    stamp = F.element_at(F.array(*[F.lit(x) for x in LOADS]), (load + 1).cast("int"))
+    rows = index.select(
+        "cnpj", F.col("text_chunk").alias("text"), F.lit("").alias("embed_text"), "metadata",
+        F.when((load == 2) & (number % 7 == 0), LATE).otherwise(stamp).cast("timestamp").alias(STAMP), load.alias("load"),
+    )
+    rows = through_storage(rows, "loads", ("load",))
+    incoming, out = scratch_path(spark, "incoming"), scratch_path(spark, "deduped")
+    for number in range(len(LOADS)):
+        rows.where(F.col("load") == number).drop("load").coalesce(1).write.mode("append").json(incoming)
+    unique = first_seen(stamped_chunk_stream(spark, incoming, 1), "1 hour")
+    stream = unique.writeStream.format("parquet").option("checkpointLocation", scratch_path(spark, "seen"))
+    stream.trigger(availableNow=True).start(out).awaitTermination()
+    found = spark.read.parquet(out)
+    place = F.array_position(F.array(*[F.lit(x).cast("timestamp") for x in LOADS]), F.col(STAMP)) - 1
+    return found.select("cnpj", "text_md5", place.cast("int").alias("load"))

@@ -28,7 +28,8 @@ def keep_index_current(
     """Start the stream; it stops by itself once all files present have been loaded."""
 
     def load(batch: DataFrame, _batch_id: int) -> None:
-        table.upsert(add_embedding(dedupe_chunks(batch), "embed_text", encoder))
+        if not batch.isEmpty():
+            table.upsert(add_embedding(dedupe_chunks(batch), "embed_text", encoder))
 
     return (
         chunks.writeStream.foreachBatch(load)
