@@ -105,20 +105,18 @@ def latin1_csv_roundtrip(spark, folder) -> DataFrame:
 
 @query(
     "csv_dialect",
-    """SELECT doc_id, coalesce(nullif(replace(text, chr(10), ' '), ''), 'NULO') AS text FROM documents
-       WHERE lang <> 'en'""",
+    "SELECT doc_id, coalesce(nullif(text, ''), 'NULO') AS text FROM documents WHERE lang <> 'en'",
 )
 def csv_dialect(spark, folder) -> DataFrame:
-    """Whole texts as quoted Latin-1 fields; rows in English get a surplus field and are dropped."""
+    """Whole texts, line breaks included, as quoted Latin-1 fields; rows in English get surplus fields and are dropped."""
     documents = S.table(spark, folder, "documents")
-    text = F.replace("text", F.lit("\n"), F.lit(" "))
     path = scratch_path(spark, "dialect")
-    fields = documents.select(F.col("doc_id").cast("string"), text.alias("text"), F.lit("NA").alias("n"), "lang")
+    fields = documents.select(F.col("doc_id").cast("string"), "text", F.lit("NA").alias("n"), "lang")
     surplus = [F.lit("").alias(f"x{place}") for place in range(4)]
     for rows in (fields.filter("lang <> 'en'").drop("lang"), fields.filter("lang = 'en'").select("*", *surplus)):
         rows.write.mode("append").option("sep", ";").option("quoteAll", True).option("escape", '"').option(
             "encoding", "ISO-8859-1").csv(path)
-    return read_companies(spark, path).filter(F.col("natureza_juridica").isNull()).select(
+    return read_companies(spark, path, multi_line=True).filter(F.col("natureza_juridica").isNull()).select(
         F.col("cnpj_basico").cast("long").alias("doc_id"), F.coalesce("razao_social", F.lit("NULO")).alias("text")
     )
 

@@ -173,7 +173,7 @@ def load_listed(spark: SparkSession, folder: str, limit: int | None = None) -> D
     if not paths:
         log.warning("no listed-company file in %s", folder)
         return empty_frame(spark, REGISTRY)
-    return standardise_listed(first_rows(read_with_header(spark, paths), limit))
+    return standardise_listed(first_rows(read_with_header(spark, paths, multi_line=True), limit))
 
 
 # --- participants ----------------------------------------------------------------

@@ -2,18 +2,21 @@
 
 Dialect: ``;`` separator, Latin-1, doubled quotes, three null tokens; rows with
 too many fields are dropped, short rows are padded with nulls. Files split into
-many input partitions (``spark.sql.files.maxPartitionBytes``). A quoted field
-that spans lines needs ``multi_line=True``, which reads each file as one split.
+many input partitions (``spark.sql.files.maxPartitionBytes``), also with
+``multi_line=True``, which lets a quoted field span lines at the price of a second scan.
 """
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regidx.fixed import FIELD_SEPARATOR, FILE_ENCODING, QUOTE, READ_NULLS
 from regidx.schemas import COMPANY_FILE, ESTABLISHMENT_FILE
+from regidx.sources.split_records import quoted_records
 
 FILE_ORDER = "file_order"
 _BAD = "_bad_row"
@@ -66,11 +69,18 @@ def read_headerless(
     spark: SparkSession, paths: str | list[str], schema: T.StructType, multi_line: bool = False
 ) -> DataFrame:
     """Positional all-text columns, plus ``file_order``."""
+    if multi_line:
+        return parse_lines(_records(spark, paths), schema, F.col("order"))
     full = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
-    rows = spark.read.schema(full).options(**dialect_options(multi_line)).csv(paths)
+    rows = spark.read.schema(full).options(**dialect_options()).csv(paths)
     return _finish(rows, schema.names, _split_order())
 
 
+def _records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    order = F.struct("file", "offset", "row")
+    return quoted_records(spark, paths).select(F.col("record").alias("line"), order.alias("order"))
+
+
 def read_companies(spark: SparkSession, paths: str | list[str], multi_line: bool = False) -> DataFrame:
     return read_headerless(spark, paths, COMPANY_FILE, multi_line)
 
@@ -84,19 +94,37 @@ def normalised_names(names: list[str]) -> list[str]:
 
 
 def read_with_header(spark: SparkSession, paths: str | list[str], multi_line: bool = False) -> DataFrame:
-    """Header-driven text columns with lower-cased, stripped names, plus ``file_order``."""
-    options = dialect_options(multi_line)
-    header = spark.read.options(**options).option("header", True).csv(paths).columns
-    names = normalised_names([name for name in header if name != _BAD])
-    full = T.StructType([T.StructField(name, T.StringType()) for name in [*names, _BAD]])
-    rows = spark.read.schema(full).options(**options).option("header", True).csv(paths)
+    """Header-driven text columns with lower-cased, stripped names, plus ``file_order``.
+
+    Every file has its own header: columns are matched by name, those that a file lacks are null.
+    """
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for path in sorted(unquote(name) for name in spark.read.text(paths).inputFiles()):
+        header = spark.read.options(**dialect_options(multi_line)).option("header", True).csv(path).columns
+        by_header.setdefault(tuple(normalised_names([name for name in header if name != _BAD])), []).append(path)
+    parts = [_with_names(spark, files, list(names), multi_line) for names, files in by_header.items()]
+    if not parts:
+        return _with_names(spark, paths, [], multi_line)
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    return rows.select(*[c for c in rows.columns if c != FILE_ORDER], FILE_ORDER)
+
+
+def _with_names(spark: SparkSession, paths: str | list[str], names: list[str], multi_line: bool) -> DataFrame:
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
+    if multi_line and names:
+        below = _records(spark, paths).where((F.col("order.offset") > 0) | (F.col("order.row") > 0))
+        return parse_lines(below, schema, F.col("order"))
+    full = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
+    rows = spark.read.schema(full).options(**dialect_options()).option("header", True).csv(paths)
     return _finish(rows, names, _split_order())
 
 
 def parse_lines(lines: DataFrame, schema: T.StructType, order: Column) -> DataFrame:
-    """Parse raw text rows (column ``line``) that came from an archive."""
-    ddl = ", ".join(f"{name} STRING" for name in [*schema.names, _BAD])
-    options = {k: v for k, v in dialect_options().items() if k not in ("encoding", "multiLine")}
+    """Parse raw text rows (column ``line``), which may hold line breaks in quotes."""
+    ddl = ", ".join(f"`{name}` STRING" for name in [*schema.names, _BAD])
+    options = {k: v for k, v in dialect_options(True).items() if k != "encoding"}
     parsed = lines.filter(F.trim("line") != "").select(
         F.from_csv("line", ddl, options).alias("fields"),
         order.alias("_order"),
