@@ -75,6 +75,7 @@ def test_an_unclosed_quote_is_an_error(spark, tmp_path, small_splits):
         quoted_records(spark, str(tmp_path)).collect()
     with pytest.raises(Exception, match="more than 100 characters"):
         spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
         quoted_records(spark, str(tmp_path), most_chars=100).collect()
 
 
