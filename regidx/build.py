@@ -17,7 +17,6 @@ from regidx.operators.cells import refresh_statistics, train_centroids, write_ce
 from regidx.operators.embedding import EncoderFactory, add_embedding, sentence_model
 from regidx.plans.chunks import build_chunks
 from regidx.plans.index_table import IndexTable
-from regidx.plans.statistics import stats_record
 from regidx.session import build_session, scratch_path
 from regidx.sources.chunk_files import load_chunks, save_chunks
 
@@ -57,7 +56,7 @@ def build_index(
         centroids = train_centroids(index, cells)
         refresh_statistics(spark, write_cells(index, centroids, cell_path), centroids)
     width = index.select(F.size("embedding")).first()[0]
-    report.stats = stats_record(index, width)
+    report.stats = table.statistics(dimension=width)
     return report
 
 

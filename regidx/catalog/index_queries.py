@@ -64,9 +64,7 @@ def latest_per_company(spark, folder) -> DataFrame:
 
 @query("company_page", f"{LATEST_SQL} SELECT cnpj, text_chunk FROM latest ORDER BY cnpj LIMIT 20 OFFSET 40")
 def company_page(spark, folder) -> DataFrame:
-    return listing.company_page(listing.latest_companies(S.order_index(spark, folder)), 20, 40).select(
-        "cnpj", "text_chunk"
-    )
+    return listing.index_page(S.order_index(spark, folder), 20, 40).select("cnpj", "text_chunk")
 
 
 @query(
@@ -380,6 +378,31 @@ def delete_source(spark, folder) -> DataFrame:
     return _shown(table)
 
 
+@query(
+    "stats_upkeep",
+    f"""{ALL_SQL}, kept AS (SELECT * FROM chunks WHERE source <> 'bacen'),
+        s AS (SELECT source, count(*) AS n FROM kept GROUP BY source),
+        u AS (SELECT uf, count(*) AS n FROM kept GROUP BY uf ORDER BY n DESC, uf LIMIT 10)
+        SELECT (SELECT count(*) FROM kept) AS total_embeddings, (SELECT count(DISTINCT cnpj) FROM kept) AS total_companies,
+               (SELECT string_agg(source || '=' || n, ',' ORDER BY n DESC, source) FROM s) AS by_source,
+               (SELECT string_agg(uf || '=' || n, ',' ORDER BY n DESC, uf) FROM u) AS top_uf, '2026-01-01' AS last_ingestion""",
+)
+def stats_upkeep(spark, folder) -> DataFrame:
+    """Statistics from what is kept of each file, after a load, a repeated load of one source and a delete."""
+    table, rows = _table(spark), S.chunks(spark, folder)
+    table.upsert(_embedded(rows), FIRST)
+    table.upsert(_embedded(rows.filter(F.col("metadata.source") == "cvm")), LATER)
+    table.delete_source("bacen")
+
+    def listed(column: str):
+        entries = F.transform(F.map_entries(column), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+        return F.array_join(entries, ",").alias(column)
+
+    return table.statistics().select(
+        "total_embeddings", "total_companies", listed("by_source"), listed("top_uf"), iso("last_ingestion").alias("last_ingestion")
+    )
+
+
 @query("stream_upsert", f"{ALL_SQL} SELECT cnpj, md5(text) AS text_md5, source FROM chunks")
 def stream_upsert(spark, folder) -> DataFrame:
     """Chunk files loaded by a stream, then replayed with a fresh checkpoint."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from regidx.build import build_index
 from regidx.catalog import standins as S
 from regidx.catalog.registry_queries import ALL_SQL, COMPANIES_SQL, LISTED_SQL, OFFICES_SQL, PARTICIPANTS_SQL
-from regidx.fixed import COMPANY_LAYOUT, ESTABLISHMENT_LAYOUT
+from regidx.fixed import COMPANY_LAYOUT, ESTABLISHMENT_LAYOUT, NOT_INFORMED
 from regidx.operators.embedding import hashed_trigrams
 from regidx.operators.enrich import headquarters
 from regidx.plans.index_table import IndexTable
@@ -151,13 +151,24 @@ def archive_roundtrip(spark, folder) -> DataFrame:
     )
 
 
-@query("archive_expansion", "SELECT count(*) AS lines FROM customer")
+@query("archive_expansion", f"WITH {COMPANIES_SQL} SELECT root AS cnpj_basico, raw AS razao_social FROM co_raw")
 def archive_expansion(spark, folder) -> DataFrame:
+    """Archives unpacked and the unpacked files read."""
     source = write_archives(company_lines(spark, folder), "EMPRECSV", "packed")
     target = scratch_path(spark, "expanded")
     expand_archives(spark, f"{source}/*.zip", target)
-    expand_archives(spark, f"{source}/*.zip", target)  # a second run adds nothing
-    return spark.read.text(target).agg(F.count(F.lit(1)).alias("lines"))
+    found = expand_archives(spark, f"{source}/*.zip", target)  # a second run adds nothing
+    return read_companies(spark, found, encoding="UTF-8").select("cnpj_basico", "razao_social")
+
+
+@query("expand_then_read", "SELECT doc_id, coalesce(nullif(text, ''), 'NULO') AS text FROM documents WHERE lang <> 'en'")
+def expand_then_read(spark, folder) -> DataFrame:
+    """Whole texts with accents and line breaks through an archive, its expansion and the split reader."""
+    documents = S.table(spark, folder, "documents").where("lang <> 'en'")
+    lines = documents.select(quoted_line(F.col("doc_id").cast("string"), "text", F.lit("NA")))
+    packed, target = write_archives(lines, "EMPRECSV", "texts"), scratch_path(spark, "expanded")
+    rows = read_companies(spark, expand_archives(spark, f"{packed}/*.zip", target), multi_line=True, encoding="UTF-8")
+    return rows.select(F.col("cnpj_basico").cast("long").alias("doc_id"), F.coalesce("razao_social", F.lit("NULO")).alias("text"))
 
 
 @query(
@@ -198,45 +209,63 @@ def read_latest_period_query(spark, folder) -> DataFrame:
 
 @query(
     "landing_audit",
-    """SELECT kind, valid, reason FROM (VALUES ('csv', true, CAST(NULL AS VARCHAR)), ('json', true, NULL),
-       ('json', false, 'not valid JSON'), ('zip', true, NULL)) t(kind, valid, reason)
-       WHERE (SELECT count(*) FROM part) > 0""",
+    """WITH b AS (SELECT p_brand AS name, count(*) AS n FROM part GROUP BY 1)
+       SELECT name, 'json' AS kind, n = 1 AS valid, CASE WHEN n > 1 THEN 'not valid JSON' END AS reason FROM b
+       UNION ALL SELECT name, 'csv', true, NULL FROM b UNION ALL SELECT name, 'zip', false, 'not a zip archive' FROM b
+       UNION ALL SELECT 'archives', 'zip', true, NULL""",
 )
 def landing_audit(spark, folder) -> DataFrame:
-    """Valid arrays and archives, and JSON-lines files, which are not one JSON document."""
+    """A row per file: JSON lines of each brand, which are one JSON document only alone, taken for JSON, text and zip."""
     root = scratch_path(spark, "landing")
-    parts = S.table(spark, folder, "part").repartition(4)
-    parts.select(F.to_json(F.struct("*")).alias("value")).write.option("compression", "none").text(f"{root}/lines")
-    write_participants(spark, folder, f"{root}/arrays")
-    archives = write_archives(company_lines(spark, folder), "EMPRECSV", "audit")
-    listed = list_files(spark, f"{root}/lines").select(F.col("path"), "length", F.lit("json").alias("kind"))
-    arrays = list_files(spark, f"{root}/arrays").select(F.col("path"), "length", F.lit("json").alias("kind"))
-    plain = list_files(spark, f"{root}/lines").select(F.col("path"), "length", F.lit("csv").alias("kind"))
-    zips = list_files(spark, archives).select(F.col("path"), "length", F.lit("zip").alias("kind"))
-    audit = audit_files(listed.unionByName(arrays).unionByName(plain).unionByName(zips))
-    return audit.select("kind", "valid", "reason").distinct()
+    parts = S.table(spark, folder, "part").select("p_brand", F.to_json(F.struct("p_partkey", "p_name")).alias("value"))
+    parts.repartition("p_brand").write.partitionBy("p_brand").text(root)
+    archives = list_files(spark, write_archives(company_lines(spark, folder), "EMPRECSV", "audit"))
+    lines = list_files(spark, root).withColumn("kind", F.explode(F.array(*[F.lit(kind) for kind in ("json", "csv", "zip")])))
+    audit = audit_files(lines.unionByName(archives.withColumn("kind", F.lit("zip"))))
+    brand = F.url_decode(F.regexp_extract("path", "p_brand=([^/]*)/", 1))
+    named = audit.select(F.when(brand != "", brand).otherwise("archives").alias("name"), "kind", "valid", "reason")
+    archive = named.where("name = 'archives'").groupBy("name", "kind").agg(F.min("valid").alias("valid"), F.max("reason").alias("reason"))
+    return named.where("name <> 'archives'").unionByName(archive)
 
 
 # --- whole job -------------------------------------------------------------------------------
+#: With establishments, companies without a head office are left out and the others have its state.
+STATES_SQL = f""", {OFFICES_SQL},
+    placed AS (SELECT cnpj, uf FROM companies JOIN offices ON c_custkey = o_custkey),
+    built AS (SELECT * FROM chunks WHERE source <> 'receita_federal' OR cnpj IN (SELECT cnpj FROM placed)),
+    states AS (SELECT uf FROM placed UNION ALL SELECT uf FROM chunks WHERE source <> 'receita_federal')"""
+
+
 @query(
     "index_build",
     f"""{ALL_SQL} SELECT count(*) AS total_embeddings, count(DISTINCT cnpj) AS total_companies,
         (SELECT string_agg(source || '=' || n, ',' ORDER BY source) FROM
-            (SELECT source, count(*) AS n FROM chunks GROUP BY source)) AS by_source FROM chunks""",
+            (SELECT source, count(*) AS n FROM built GROUP BY source)) AS by_source,
+        (SELECT string_agg(uf || '=' || n, ',' ORDER BY n DESC, uf) FROM (SELECT uf, count(*) AS n FROM states
+            GROUP BY uf ORDER BY n DESC, uf LIMIT 10)) AS top_uf FROM built""".replace(
+        "SELECT count(*) AS total_embeddings", STATES_SQL + " SELECT count(*) AS total_embeddings"
+    ),
 )
 def index_build(spark, folder) -> DataFrame:
-    """Landing files to a stored, embedded index, then its statistics."""
+    """Landing files of all sources, establishments included, to a stored, embedded index, then its statistics."""
     landing = write_archives(company_lines(spark, folder), "EMPRECSV", "landing")
+    offices = write_archives(office_lines(spark, folder), "ESTABELE", "landing-offices")
+    for number, path in enumerate(matching_paths(spark, f"{offices}/part-*.zip")):
+        _rename(spark, path, f"{landing}/Estabelecimentos{number}.zip")
     write_listed(spark, folder, f"{landing}/cad_cia_aberta.csv")
     write_participants(spark, folder, f"{landing}/open_finance_participants.json")
     for number, path in enumerate(matching_paths(spark, f"{landing}/part-*.zip")):
         _rename(spark, path, f"{landing}/Empresas{number}.zip")
     table = IndexTable(spark, scratch_path(spark, "index"), S.BUCKETS)
     report = build_index(spark, landing, table, encoder=hashed_trigrams())
-    entries = F.transform(
-        F.array_sort(F.map_entries("by_source")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))
+
+    def listed(entries):
+        return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+
+    return report.stats.select(
+        "total_embeddings", "total_companies", listed(F.array_sort(F.map_entries("by_source"))).alias("by_source"),
+        listed(F.map_entries("top_uf")).alias("top_uf"),
     )
-    return report.stats.select("total_embeddings", "total_companies", F.array_join(entries, ",").alias("by_source"))
 
 
 def _rename(spark, old: str, new: str) -> None:

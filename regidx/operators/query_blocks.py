@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from regidx.operators.hybrid import Query
 from regidx.session import scratch_path
+from regidx.sources.archive import arrow_path
 
 FILE_QUERIES = 16_384
 FILTERS = ("uf", "porte", "source")
@@ -31,13 +32,6 @@ def store_queries(queries: DataFrame, file_queries: int = FILE_QUERIES) -> str:
     return path
 
 
-def _opened(path: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a Spark path, as Arrow sees it."""
-    if path.startswith("file:"):
-        path = "/" + path.removeprefix("file:").lstrip("/")
-    return pafs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
-
-
 def queries_of(batch: pa.RecordBatch) -> list[Query]:
     columns = {field: batch.column(field).to_pylist() for field in ("query_id", "text", *FILTERS)}
     cells = batch.column("cells").to_pylist() if "cells" in batch.schema.names else None
@@ -55,7 +49,7 @@ def queries_of(batch: pa.RecordBatch) -> list[Query]:
 
 def stream_queries(path: str, size: int) -> Iterator[list[Query]]:
     """The stored queries in blocks of at most ``size``, in the same order at every call."""
-    system, folder = _opened(path)
+    system, folder = arrow_path(path)
     files = system.get_file_info(pafs.FileSelector(folder))
     for name in sorted(info.path for info in files if info.path.endswith(".parquet")):
         with system.open_input_file(name) as file:

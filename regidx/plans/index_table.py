@@ -12,17 +12,32 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from regidx.fixed import EMBEDDING_DIM, UNKNOWN_SOURCE
+from regidx.functions.text import filled_or
 from regidx.functions.vectors import l2_norm
 from regidx.operators.keyed import best_per_group, source_ordinal
 from regidx.operators.predicates import key_bucket
 from regidx.schemas import INDEX
 from regidx.plans.snapshots import Snapshots
+from regidx.plans.statistics import distinct_companies, long_of, record_of
 from regidx.session import through_storage
 
 KEY = ["cnpj", "text_md5"]
 #: Rows of a data file at most (some 100 MB of vectors).
 FILE_ROWS = 65_536
+#: What is kept of each file, per source and state: rows, newest row, and a mergeable sketch of the distinct keys.
+SUMMARY = T.StructType(
+    [
+        T.StructField("file", T.StringType()),
+        T.StructField("source", T.StringType()),
+        T.StructField("uf", T.StringType()),
+        T.StructField("n", T.LongType()),
+        T.StructField("newest", T.TimestampType()),
+        T.StructField("keys", T.BinaryType()),
+    ]
+)
 
 
 def index_rows(chunks: DataFrame, buckets: int, created_at: datetime | None = None) -> DataFrame:
@@ -48,6 +63,14 @@ def index_rows(chunks: DataFrame, buckets: int, created_at: datetime | None = No
     ).select(*INDEX.names)
 
 
+def file_summary(stored: DataFrame) -> DataFrame:
+    """Partial statistics of each stored file."""
+    source = filled_or(F.col("metadata.source"), UNKNOWN_SOURCE)
+    return stored.groupBy("file", source.alias("source"), F.col("metadata.uf").alias("uf")).agg(
+        F.count(F.lit(1)).alias("n"), F.max("created_at").alias("newest"), F.hll_sketch_agg("cnpj").alias("keys")
+    ).select(*SUMMARY.names)
+
+
 def once_per_key(incoming: DataFrame) -> DataFrame:
     """A batch that repeats a key counts once; the earliest source in registry order wins."""
     return best_per_group(incoming, KEY, [source_ordinal(F.col("source")).asc_nulls_last(), F.to_json("metadata").asc()], 1)
@@ -92,6 +115,20 @@ class IndexTable:
         """The live data files with source, bucket, rows and key range."""
         return self.snapshots.manifest(version)
 
+    def statistics(self, version: int | None = None, exact: bool = True, dimension: int = EMBEDDING_DIM, top: int = 10) -> DataFrame:
+        """``stats_record`` of a version out of what is kept of its files: a change only costs the files it wrote.
+
+        The number of companies is counted from the key column (``exact``) or estimated from the merged sketches, without
+        reading any data file.
+        """
+        manifest = self.snapshots.manifest(version)
+        kept = self.snapshots.summary(manifest, SUMMARY)
+        if exact:
+            companies = distinct_companies(self.snapshots.rows(manifest).select("cnpj"))
+        else:
+            companies = kept.agg(F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("keys")), F.lit(0)).alias("total_companies"))
+        return record_of(long_of(kept.select("source", "uf", "n", "newest"), companies, top), dimension)
+
     # --- changes ---------------------------------------------------------------
     def upsert(self, chunks: DataFrame, created_at: datetime | None = None) -> int:
         """Insert or update embedded chunks; returns the number of rows in the batch."""
@@ -104,7 +141,7 @@ class IndexTable:
         total = staged.count()
         if total:
             changed, rows = self._changes(manifest, once_per_key(staged))
-            manifest = manifest.join(changed, "file", "left_anti").unionByName(self.snapshots.write(rows, self.file_rows))
+            manifest = manifest.join(changed, "file", "left_anti").unionByName(self.snapshots.write(rows, self.file_rows, file_summary))
         self.snapshots.publish(manifest, version)
         return total
 
@@ -162,7 +199,7 @@ class IndexTable:
         old = manifest.join(crowded, same, "left_semi")
         gone = old.count()
         if gone:
-            added = self.snapshots.write(self.snapshots.rows(old), self.file_rows)
+            added = self.snapshots.write(self.snapshots.rows(old), self.file_rows, file_summary)
             self.snapshots.publish(manifest.join(old.select("file"), "file", "left_anti").unionByName(added), version)
         return gone
 

@@ -8,12 +8,14 @@ Spark jobs; the driver sees file names only.
 
     commit=<id>/source=.../key_bucket=.../part-*.parquet   below data/: rows
     commit=<id>                                            below blooms/: Bloom pages of its files
+    commit=<id>                                            below summaries/: what the table's owner sums up of each file
     manifests/<id>, published/<version>                    live files; the name of the manifest
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,7 +65,7 @@ class Snapshots:
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType) -> None:
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-        self.data, self.blooms = f"{self.path}/data", f"{self.path}/blooms"
+        self.data, self.blooms, self.summaries = (f"{self.path}/{name}" for name in ("data", "blooms", "summaries"))
 
     # --- versions ----------------------------------------------------------------
     def _pointer(self, version: int) -> str:
@@ -118,8 +120,11 @@ class Snapshots:
         found = self._read([f"{self.data}/{file}" for file in files])
         return found.select(*self.schema.names, *[self._file().alias("_file")] * with_file)
 
-    def write(self, rows: DataFrame, file_rows: int) -> DataFrame:
-        """Store ``rows`` in files of their own, of at most ``file_rows`` rows sorted by key; returns their manifest rows."""
+    def write(self, rows: DataFrame, file_rows: int, summary: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """Store ``rows`` in files of their own, of at most ``file_rows`` rows sorted by key; returns their manifest rows.
+
+        ``summary`` makes of the stored rows, with their ``file``, mergeable partial results of each file to be kept.
+        """
         commit = uuid.uuid4().hex
         folder = f"{self.data}/commit={commit}"
         # A bucket of many rows is split over tasks; its rows are dealt at random, so split files overlap in range.
@@ -141,8 +146,18 @@ class Snapshots:
         bits.groupBy("file", "page").agg(F.bitmap_construct_agg("position").alias("bits")).write.parquet(
             f"{self.blooms}/commit={commit}"
         )
+        if summary:
+            stored = self._read([folder]).withColumn("file", self._file()).drop("commit")
+            summary(stored).coalesce(1).write.parquet(f"{self.summaries}/commit={commit}")
         return described
 
+    def summary(self, manifest: DataFrame, schema: T.StructType) -> DataFrame:
+        """The kept partial results of the files of ``manifest``; data files are not read."""
+        if not matching_paths(self.spark, f"{self.summaries}/commit=*"):
+            return empty_frame(self.spark, schema)
+        kept = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(self.summaries)
+        return kept.join(manifest.select("file"), "file", "left_semi")
+
     def may_hold(self, manifest: DataFrame, keys: DataFrame) -> DataFrame:
         """The files of ``manifest`` whose range and Bloom filter admit one of ``keys`` (KEY and key_bucket)."""
         near = manifest.join(keys.select(*KEY, "key_bucket"), "key_bucket").where(F.col("cnpj").between(F.col("low"), F.col("high")))

@@ -111,6 +111,11 @@ def stats_long(index: DataFrame, top: int = 10) -> DataFrame:
     small = index.groupBy(
         filled_or(F.col("metadata.source"), UNKNOWN_SOURCE).alias("source"), F.col("metadata.uf").alias("uf")
     ).agg(_count().alias("n"), F.max("created_at").alias("newest"))
+    return long_of(small, distinct_companies(index), top)
+
+
+def long_of(small: DataFrame, companies: DataFrame, top: int = 10) -> DataFrame:
+    """``stats_long`` out of partial counts (source, uf, n, newest) and the one-row number of companies."""
     source, state = F.col("source"), F.col("uf")
     kind = (
         F.when(F.grouping("source") == 0, "source").when(F.grouping("uf") == 0, "state").otherwise("rows")
@@ -124,16 +129,19 @@ def stats_long(index: DataFrame, top: int = 10) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("total"), F.asc("key")))
     ranked = keyed.filter((F.col("kind") != "state") | F.col("key").isNotNull()).withColumn("place", place)
     rows = ranked.filter((F.col("kind") != "state") | (F.col("place") <= top)).drop("place")
-    companies = index.agg(F.count_distinct("cnpj").alias("total")).select(
-        F.lit("companies").alias("kind"), F.lit(None).cast("string").alias("key"), "total",
+    counted = companies.select(
+        F.lit("companies").alias("kind"), F.lit(None).cast("string").alias("key"), F.col("total_companies").alias("total"),
         F.lit(None).cast("timestamp").alias("stamp"),
     )
-    return rows.unionByName(companies)
+    return rows.unionByName(counted)
 
 
 def stats_record(index: DataFrame, dimension: int = EMBEDDING_DIM, top: int = 10) -> DataFrame:
     """One row with all statistics; maps are ordered by count."""
-    long = stats_long(index, top)
+    return record_of(stats_long(index, top), dimension)
+
+
+def record_of(long: DataFrame, dimension: int = EMBEDDING_DIM) -> DataFrame:
 
     def one(kind: str, column: str):
         return F.max(F.when(F.col("kind") == kind, F.col(column)))

@@ -14,6 +14,7 @@ import re
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -45,12 +46,17 @@ _OPEN_ROW = re.compile(
 )
 
 
+def arrow_path(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and the inner path of a path as Hadoop writes it, on any storage Arrow knows."""
+    if re.match(r"^(file:|/)", path) or not re.match(r"^[a-z][a-z0-9+.-]*:", path):
+        return pafs.LocalFileSystem(), re.sub(r"^file:/+", "/", path)
+    # Arrow decodes per cent signs, Hadoop's paths mean them as they are.
+    return pafs.FileSystem.from_uri(quote(path.replace("s3a:", "s3:", 1), safe="/:@"))
+
+
 def open_path(path: str):
-    """A seekable file on any storage Arrow knows."""
-    if re.match(r"^[a-z][a-z0-9+.-]*:", path):
-        filesystem, inner = pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
-    else:
-        filesystem, inner = pafs.LocalFileSystem(), path
+    """A seekable file."""
+    filesystem, inner = arrow_path(path)
     return filesystem.open_input_file(inner)
 
 
@@ -203,14 +209,14 @@ def expand_archives(spark: SparkSession, pattern: str, target: str, marker: str
 def write_archives(df: DataFrame, member: str, label: str = "archives") -> str:
     """Each task writes its rows (one text column) as one zip; returns the folder."""
     target = scratch_path(df.sparkSession, label)
-    filesystem, root = _writable(target)
+    filesystem, root = arrow_path(target)
     filesystem.create_dir(root)
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId()
-        fs, folder = _writable(target)
+        fs, folder = arrow_path(target)
         count = 0
         with fs.open_output_stream(f"{folder}/part-{number:05d}.zip") as sink:
             with zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED) as archive, archive.open(
@@ -224,9 +230,3 @@ def write_archives(df: DataFrame, member: str, label: str = "archives") -> str:
 
     df.mapInArrow(save, "written long").agg(F.sum("written")).collect()
     return target
-
-
-def _writable(path: str):
-    if re.match(r"^[a-z][a-z0-9+.-]*:", path):
-        return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
-    return pafs.LocalFileSystem(), path

@@ -66,27 +66,32 @@ def _split_order() -> Column:
 
 
 def read_headerless(
-    spark: SparkSession, paths: str | list[str], schema: T.StructType, multi_line: bool = False
+    spark: SparkSession, paths: str | list[str], schema: T.StructType, multi_line: bool = False,
+    encoding: str = FILE_ENCODING,
 ) -> DataFrame:
-    """Positional all-text columns, plus ``file_order``."""
+    """Positional all-text columns, plus ``file_order``. Expanded archives are UTF-8."""
     if multi_line:
-        return parse_lines(_records(spark, paths), schema, F.col("order"))
+        return parse_lines(_records(spark, paths, encoding), schema, F.col("order"))
     full = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
-    rows = spark.read.schema(full).options(**dialect_options()).csv(paths)
+    rows = spark.read.schema(full).options(**dialect_options() | {"encoding": encoding}).csv(paths)
     return _finish(rows, schema.names, _split_order())
 
 
-def _records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def _records(spark: SparkSession, paths: str | list[str], encoding: str = FILE_ENCODING) -> DataFrame:
     order = F.struct("file", "offset", "row")
-    return quoted_records(spark, paths).select(F.col("record").alias("line"), order.alias("order"))
+    return quoted_records(spark, paths, encoding).select(F.col("record").alias("line"), order.alias("order"))
 
 
-def read_companies(spark: SparkSession, paths: str | list[str], multi_line: bool = False) -> DataFrame:
-    return read_headerless(spark, paths, COMPANY_FILE, multi_line)
+def read_companies(
+    spark: SparkSession, paths: str | list[str], multi_line: bool = False, encoding: str = FILE_ENCODING
+) -> DataFrame:
+    return read_headerless(spark, paths, COMPANY_FILE, multi_line, encoding)
 
 
-def read_establishments(spark: SparkSession, paths: str | list[str], multi_line: bool = False) -> DataFrame:
-    return read_headerless(spark, paths, ESTABLISHMENT_FILE, multi_line)
+def read_establishments(
+    spark: SparkSession, paths: str | list[str], multi_line: bool = False, encoding: str = FILE_ENCODING
+) -> DataFrame:
+    return read_headerless(spark, paths, ESTABLISHMENT_FILE, multi_line, encoding)
 
 
 def normalised_names(names: list[str]) -> list[str]:

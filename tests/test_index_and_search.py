@@ -12,7 +12,7 @@ from regidx.operators.cells import probe_cells, train_centroids, write_cells
 from regidx.operators.embedding import add_embedding
 from regidx.plans.chunks import registry_to_chunks
 from regidx.plans.index_table import IndexTable, index_rows
-from regidx.plans.listing import company_items, company_page, company_page_after, latest_companies
+from regidx.plans.listing import company_items, company_page, index_page, company_page_after, latest_companies
 from regidx.plans.prompts import build_prompts, prompt_rows
 from regidx.operators import hybrid
 from regidx.operators.query_blocks import store_queries, stream_queries
@@ -204,6 +204,12 @@ def test_listing(spark, index):
     page = [row.cnpj for row in company_page(latest, 10, 10).collect()]
     assert page == [f"{i:014d}" for i in range(10, 20)]
     assert [row.cnpj for row in company_page_after(latest, page[0], 3).collect()] == page[1:4]
+    direct = index_page(both, 10, 10)
+    assert [(row.cnpj, row.text_chunk) for row in direct.collect()] == [(key, "new") for key in page]
+    assert [r.cnpj for r in index_page(both, 3, 0, "sp", "01").collect()] == [
+        r.cnpj for r in company_page(latest_companies(both, "sp", "01"), 3).collect()]
+    plan = direct._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "TakeOrderedAndProject" in plan
 
 
 def test_stats(spark, index):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from regidx.plans.index_table import IndexTable
 from regidx.plans.snapshots import ConcurrentChange, Snapshots
+from regidx.plans.statistics import stats_record
 from regidx.schemas import METADATA
 
 FIRST, LATER = dt.datetime(2026, 1, 1), dt.datetime(2026, 2, 1)
@@ -163,3 +164,23 @@ def test_lookup_reads_the_files_of_one_bucket(table):
     rows = table.lookup("00.000.000/0000-42")
     assert [r.cnpj for r in rows.collect()] == ["00000000000042"]
     assert len(rows.inputFiles()) <= 6 < len(names(table))
+
+
+def test_statistics_of_kept_summaries_equal_the_scan(spark, table):
+    def same(version=None):
+        kept, scanned = table.statistics(version), stats_record(table.read(version))
+        assert kept.collect() == scanned.collect()
+        return kept.first()
+
+    first = table.snapshots.current()
+    before = same()
+    table.upsert(chunks(spark, range(150, 230), municipio="X"), LATER)
+    assert same().total_embeddings == 230 and same().last_ingestion == LATER
+    table.delete_source("a b")
+    assert "a b" not in same().by_source
+    assert same(first) == before
+    plan = table.statistics(exact=False)
+    assert abs(plan.first().total_companies - 184) <= 9
+    assert not [file for file in plan.inputFiles() if "/data/" in file]
+    table.truncate()
+    assert same().total_embeddings == 0 and table.statistics(exact=False).first().total_companies == 0
