@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from urllib.parse import unquote
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -69,6 +70,12 @@ def through_storage(df: DataFrame, label: str, partition_by: tuple[str, ...] = (
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(stored: DataFrame) -> None:
+    """Delete the files of a frame from ``through_storage``, once all that reads it has been stored itself."""
+    for folder in {name.rsplit("/", 1)[0] for name in stored.inputFiles()}:
+        remove_path(stored.sparkSession, unquote(folder))
+
+
 def _hadoop_path(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
