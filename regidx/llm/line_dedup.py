@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regidx.llm.common import let, replaced, row_key
-from regidx.session import through_storage
+from regidx.session import discard, through_storage
 
 #: Leading tokens that lead to a leaf of the tree, below the number of tokens.
 DEPTH = 3
@@ -49,25 +49,29 @@ def leaf_of(line: Column) -> Column:
 
 
 def templates(lines: DataFrame, documents: int, similar: float) -> DataFrame:
-    """(leaf, line, template) for the distinct ``lines`` (leaf, line, n_docs) of a leaf.
+    """(mark, template) for those distinct ``lines`` (mark, leaf, line, n_docs) of the leaves that are generalised.
 
-    A token stays if it stands at its place in lines of enough documents of its leaf; the others are
-    variable. The leading tokens are equal in a leaf, so say nothing: a line that would keep less than the share
-    ``similar`` of the tokens after them, that has none, or that has no constant token, is its own template.
+    A token stays if it stands at its place in enough lines of its leaf, a line of several documents counted
+    in each; the others are variable. The leading tokens are equal in a leaf, so say nothing: a line that would keep
+    less than the share ``similar`` of the tokens after them, that has none, or that has no constant token, is
+    its own template and not returned. Tokens are compared and shuffled as hashes of leaf, place and token; a template
+    is the exclusive or of those that stay, so it is added up in each task and no line is put together again.
     """
-    tokens = lines.select("leaf", "line", "n_docs", F.posexplode(F.split("line", " ")).alias("place", "token"))
-    common = tokens.groupBy("leaf", "place", "token").agg(F.sum("n_docs").alias("n")).where(F.col("n") >= documents)
-    marked = tokens.join(common.drop("n").withColumn("stays", F.lit(True)), ["leaf", "place", "token"], "left")
-    general = marked.groupBy("leaf", "line").agg(
-        F.array_sort(F.collect_list(F.struct("place", F.when(F.col("stays"), F.col("token")).alias("token")))).alias("tokens")
-    )
-    later = F.slice("tokens", DEPTH + 1, F.greatest(F.size("tokens") - DEPTH, F.lit(0)))
-    kept = F.size(F.filter(later, lambda t: t["token"].isNotNull() & (t["token"] != VARIABLE)))
-    alike = (kept > 0) & (kept >= similar * F.size(later)) & F.rlike("line", F.lit(CONSTANT))
-    text = F.array_join(F.transform("tokens", lambda t: F.coalesce(t["token"], F.lit(VARIABLE))), " ")
-    return general.select(
-        "leaf", "line", F.when(alike, text).otherwise(F.col("line")).alias("template")
-    )
+    tokens = (
+        lines.where(F.rlike("line", F.lit(CONSTANT)))
+        .select("mark", "leaf", "n_docs", F.split("line", " ").alias("tokens"))
+        .where(F.size("tokens") > DEPTH)
+        .select("mark", "leaf", "n_docs", (F.size("tokens") - DEPTH).alias("later"), F.posexplode(F.slice("tokens", DEPTH + 1, F.size("tokens"))).alias("place", "token"))
+        .where(F.col("token") != VARIABLE)
+        .select("mark", "leaf", "later", "n_docs", F.xxhash64("leaf", "place", "token").alias("token"))
+    )
+    common = tokens.groupBy("token").agg(F.sum("n_docs").alias("n")).where(F.col("n") >= documents).select("token")
+    return (
+        tokens.drop("n_docs").join(common, "token", "left_semi")
+        .groupBy("mark", "leaf", "later").agg(F.count("*").alias("kept"), F.bit_xor("token").alias("tokens"))
+        .where(F.col("kept") >= similar * F.col("later"))
+        .select("mark", F.xxhash64("leaf", "kept", "tokens").alias("template"))
+    )
 
 
 def drop_recurring_lines(
@@ -86,24 +90,35 @@ def drop_recurring_lines(
     its row stays. Rows of one id and text are one document; rows of a null id count as one
     document per text and are first of all. A column ``n_chars`` follows the new text.
 
-    A common line is counted in each task before it is shuffled, and is a join key that Spark can split;
-    texts move once, for the last join, and lines of leaves that recur once.
+    A common line is counted in each task before it is shuffled, and is a join key that Spark can split. Leaves with
+    lines of too few documents go first; of the others, each distinct line is shuffled once, all else as hashes.
+    Texts move once, for the last join.
     """
     docs = replaced(docs, "n_lines", "n_dropped")
     base = docs.select(F.struct("*").alias("_doc"), *row_key(doc_id, text))
     body = F.col(f"_doc.`{text}`")
-    exploded = base.select("_id", "_row", F.explode(distinct_masked(body)).alias("line")).withColumn("leaf", leaf_of(F.col("line")))
     leaves = through_storage(
-        exploded.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= documents).select("leaf"), "line-leaves"
+        base.select(F.explode(F.array_distinct(F.transform(distinct_masked(body), leaf_of))).alias("leaf"))
+        .groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= documents).select("leaf"),
+        "line-leaves",
+    )
+    exploded = base.select("_id", "_row", F.explode(distinct_masked(body)).alias("line"))
+    met = through_storage(
+        exploded.withColumn("leaf", leaf_of(F.col("line"))).join(leaves, "leaf", "left_semi").withColumn("mark", F.xxhash64("line")),
+        "line-candidates",
     )
-    met = through_storage(exploded.join(leaves, "leaf", "left_semi").dropDuplicates(["_id", "_row", "line"]), "line-candidates")
-    known = templates(met.groupBy("leaf", "line").agg(F.count("*").alias("n_docs")), documents, similar)
+    pairs = through_storage(met.select("_id", "_row", "mark").distinct(), "line-documents")
+    counted = pairs.groupBy("mark").agg(F.count("*").alias("n_docs"))
+    lines = met.groupBy("mark").agg(F.first("leaf").alias("leaf"), F.first("line").alias("line")).join(counted, "mark")
+    lines = through_storage(lines, "line-texts")
+    discard(met)
+    known = templates(lines, documents, similar)
     placed = through_storage(
-        met.join(known, ["leaf", "line"]).select(
-            "_id", "_row", F.xxhash64("leaf", "template").alias("template"), F.xxhash64("line").alias("mark")
-        ),
+        pairs.join(known, "mark", "left").select("_id", "_row", F.coalesce("template", "mark").alias("template"), "mark"),
         "line-templates",
     )
+    for stored in (leaves, pairs, lines):
+        discard(stored)
     recurring = (
         placed.groupBy("template", "_id", "_row").agg(F.lit(1).alias("one"))
         .groupBy("template").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_row")).alias("first"))
