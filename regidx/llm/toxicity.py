@@ -22,6 +22,9 @@ SAMPLE = 8_000
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 40, 128, 0.1, 1e-4
 #: Buckets in fewer sample documents than RARE, or less telling than TELLING deviations, are no features.
 RARE, TELLING = 4, 4.0
+#: Terms are also features if they are so telling among the documents that hold one of the most telling terms:
+#: what is told by two terms together need not show in one of them.
+LEADS, BESIDE = 64, 3.0
 PREFIX = 5
 WORD = re.compile(r"[^\W\d_]+").findall
 
@@ -58,6 +61,35 @@ def buckets_of(text: str | None, known: dict[str, tuple[int, ...]]) -> list[int]
     return sorted({b for w in words for b in known[w]})
 
 
+def deviations(seen: np.ndarray, hits: np.ndarray, n: int, rate: float) -> np.ndarray:
+    """By how many standard deviations the toxic documents of a bucket are above ``rate``; 0 for rare buckets."""
+    spread = np.sqrt(np.maximum(seen * rate * (1 - rate) * (1 - seen / max(n, 1)), 1e-9))
+    return np.where(seen >= RARE, (hits - seen * rate) / spread, 0)
+
+
+def choose(flat: np.ndarray, row: np.ndarray, toxic: np.ndarray, rate: float) -> np.ndarray:
+    """The buckets that tell by themselves, then those that tell beside one of the LEADS first of them."""
+    n = len(toxic)
+
+    def telling_in(places: np.ndarray, among: int, rate: float) -> np.ndarray:
+        seen = np.bincount(flat[places], minlength=BUCKETS)
+        return deviations(seen, np.bincount(flat[places], weights=toxic[row[places]], minlength=BUCKETS), among, rate)
+
+    alone = np.abs(telling_in(np.arange(len(flat)), n, rate))
+    chosen = np.argsort(-alone, kind="stable")[:FEATURES]
+    chosen = chosen[alone[chosen] >= TELLING]
+    beside = np.zeros(BUCKETS)
+    for lead in chosen[:LEADS]:
+        holds = np.zeros(n, bool)
+        holds[row[flat == lead]] = True
+        share = float(toxic[holds].mean())
+        if 0 < share < 1:
+            beside = np.maximum(beside, telling_in(np.flatnonzero(holds[row]), int(holds.sum()), share))
+    beside[chosen] = 0
+    more = np.argsort(-beside, kind="stable")[: FEATURES - len(chosen)]
+    return np.concatenate([chosen, more[beside[more] >= BESIDE]])
+
+
 def fit(documents: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Machine:
     """Learn from the documents' buckets and labels 0 or 1 by AdaGrad on the logistic loss."""
     n = len(documents)
@@ -65,12 +97,7 @@ def fit(documents: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Machin
     prior = float(np.log(rate / (1 - rate)))
     flat = np.concatenate(documents) if n else np.empty(0, np.int64)
     row = np.repeat(np.arange(n), [len(d) for d in documents]) if n else flat
-    seen = np.bincount(flat, minlength=BUCKETS)
-    hits = np.bincount(flat, weights=toxic[row] if n else None, minlength=BUCKETS)
-    spread = np.sqrt(np.maximum(seen * rate * (1 - rate) * (1 - seen / max(n, 1)), 1e-9))
-    telling = np.where(seen >= RARE, np.abs(hits - seen * rate) / spread, 0)
-    chosen = np.argsort(-telling, kind="stable")[:FEATURES]
-    chosen = chosen[telling[chosen] >= TELLING]
+    chosen = choose(flat, row, toxic, rate)
     feature_of = {int(b): i for i, b in enumerate(chosen)}
     m = len(chosen)
     if not m or toxic.min() == toxic.max():

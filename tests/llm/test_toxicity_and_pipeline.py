@@ -1,12 +1,15 @@
+import math
 import os
 import random
+import re
 import zlib
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
 from conftest import FOLDER
-from regidx.llm.toxicity import score_documents, train
+from regidx.llm.toxicity import buckets_of, fit, score_documents, train
 
 
 def labelled(spark, n=600):
@@ -35,6 +38,51 @@ def test_pairs_are_learned_and_nulls_scored(spark):
     assert {r.predicted for r in scored if r.doc_id in (9000, 9001)} == {0}
 
 
+def test_weak_words_that_tell_only_beside_another_are_learned():
+    """Twenty names of groups, toxic only beside one insult; none of them tells much by itself."""
+    rng = random.Random(5)
+    names = [f"{chr(97 + i)}{chr(98 + i)}q{chr(97 + i)}folk" for i in range(20)]
+
+    def drawn(n):
+        texts, toxic = [], []
+        for _ in range(n):
+            words = ["w" + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=3)) for _ in range(60)]
+            insult, group = rng.random() < 0.08, rng.random() < 0.3
+            words += ["insultword"] * insult + rng.sample(names, 1) * group
+            texts.append(" ".join(words))
+            toxic.append(int(insult and group))
+        return texts, np.array(toxic, np.float32)
+
+    known = {}
+    learned, truth = drawn(8000)
+    machine = fit([np.array(buckets_of(t, known), np.int64) for t in learned], truth)
+    texts, truth = drawn(3000)
+    scores = np.array([plain_score(machine, t) for t in texts])
+    caught = (scores >= 0.5) & (truth == 1)
+    assert caught.sum() >= 0.9 * truth.sum() > 50
+    assert ((scores >= 0.5) & (truth == 0)).sum() <= 0.01 * len(truth)
+
+
+def plain_score(machine, text):
+    """The machine's formula, pair by pair."""
+    words = {w for w in re.findall(r"[^\W\d_]+", (text or "").lower())}
+    buckets = {zlib.crc32(t.encode()) % (1 << 20) for w in words for t in ([w] + ["^" + w[:5]] * (len(w) > 5))}
+    features = sorted(machine.feature_of[b] for b in buckets if b in machine.feature_of)
+    raw = machine.bias + sum(machine.weights[f] for f in features)
+    for i, one in enumerate(features):
+        raw += sum(float(np.dot(machine.factors[one], machine.factors[other])) for other in features[i + 1 :])
+    return 1 / (1 + math.exp(-raw))
+
+
+def test_scores_equal_the_formula_pair_by_pair(spark):
+    docs, labels = labelled(spark, 400)
+    machine = train(docs, labels)
+    odd = spark.createDataFrame([(9000, None), (9001, ""), (9001, ""), (None, "insultword Groupword_x 1groupword")], docs.schema)
+    rows = score_documents(docs.unionByName(odd).repartition(3), machine).collect()
+    assert len(rows) == 404
+    assert all(abs(r.score - plain_score(machine, r.text)) < 1e-9 for r in rows)
+
+
 def test_labels_of_held_out_rows_change_nothing(spark):
     from pyspark.sql import functions as F
 
