@@ -11,10 +11,10 @@ from regidx.session import through_storage
 #: What separates words once A-Z are lower case.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, GRAM = 13, 4
-#: A place in a text takes the low bits of a fingerprint, its hash the others.
-PLACE_BITS = 26
-#: Benchmark rows (fingerprints or windows) that may be broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: A place in a text takes the low bits of a fingerprint, its hash the others; no string has 2^30 words.
+PLACE_BITS = 30
+#: Benchmark rows (fingerprints or windows) and bytes of windows that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 SALTS = 16
 
 
@@ -69,12 +69,13 @@ def winnow(words: Column, gram: int, over: int) -> Column:
     Two texts that share gram + over - 1 consecutive words share the hash of one of these.
     """
     picked = F.array_distinct(_slide(gram_hashes(words, gram), over, lambda a, b: F.least(a, b)))
-    too_long = F.raise_error(F.lit(f"a text of more than {1 << PLACE_BITS} words cannot be fingerprinted"))
-    return (
-        F.when(F.size(words) >= 1 << PLACE_BITS, too_long.cast("array<long>"))
-        .when(F.size(words) >= gram + over - 1, picked)
-        .otherwise(F.array().cast("array<long>"))
-    )
+    return F.when(F.size(words) >= gram + over - 1, picked).otherwise(F.array().cast("array<long>"))
+
+
+def _short_hashes(words: Column, length: int) -> Column:
+    """Hash and place of every run of ``length`` words, told apart from those of other lengths and of winnowing."""
+    sign = length * 0x9E3779B1 % (1 << (64 - PLACE_BITS - 1)) << PLACE_BITS
+    return F.transform(gram_hashes(words, length), lambda h: h.bitwiseXOR(F.lit(sign).cast("long")))
 
 
 def _hash_part(packed: Column) -> Column:
@@ -85,9 +86,9 @@ def _place_part(packed: Column) -> Column:
     return packed.bitwiseAND(F.lit((1 << PLACE_BITS) - 1).cast("long")).cast("int")
 
 
-def _with_benchmark(left: DataFrame, right: DataFrame, on: str, rows: int, how: str) -> DataFrame:
+def _with_benchmark(left: DataFrame, right: DataFrame, on: str, rows: int, size: int, how: str) -> DataFrame:
     """Join with the benchmark's side: broadcast while small, else by a shuffle with split keys."""
-    if rows <= BROADCAST_ROWS:
+    if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES:
         return left.join(F.broadcast(right), on, how)
     salted = left.withColumn("_salt", F.pmod(F.xxhash64("_id", "_row"), F.lit(SALTS)))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
@@ -100,7 +101,8 @@ def contaminated_words(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id"
     ``items`` holds the ids whose windows occur in the text, as strings; ``spans`` the
     merged hit ranges as array<struct<start, end>> in words, end exclusive. ``contaminated``:
     some word is hit and share * n_hit >= n_words. An item of fewer words than ``window`` is
-    one window; an item without words, null or empty, has none.
+    one window, looked up by the hash of all its words, so short items change nothing for the winnowing of the
+    others; an item without words, null or empty, has none. Texts may have any length.
 
     A null text has no words. Rows that repeat an id and text get the same result each; repeated
     items and items of the same text all count. Null item ids are windows without an id.
@@ -145,27 +147,33 @@ def _judged(
         .distinct(),
         "bench-windows",
     )
-    least, windows = bench.agg(F.min("n"), F.count("*")).first()
+    size = F.aggregate("w", F.lit(0).cast("long"), lambda total, w: total + F.octet_length(w) + 16)
+    found = bench.groupBy("n").agg(F.count("*").alias("windows"), F.sum(size).alias("size")).collect()  # ``window`` rows at most
+    windows, held = sum(r.windows for r in found), sum(r["size"] for r in found)
+    short = sorted(r.n for r in found if r.n < window)
     base = docs.select(F.col(doc_id), F.col(text).cast("string").alias("_text"), *row_key(doc_id, text))
     schema = "array<struct<start:int,end:int>>"
-    if not windows:
-        least = window
-    gram = min(GRAM, least)
-    over = least - gram + 1
-    prints = bench.select(
-        "n", F.explode(F.transform(gram_hashes(F.col("w"), gram), _hash_part)).alias("print")
-    ).distinct()
+    gram = min(GRAM, window)
+    over = window - gram + 1
+
+    def of_window(words: Column) -> Column:
+        cases = F.when(F.size(words) == window, gram_hashes(words, gram))
+        for length in short:
+            cases = cases.when(F.size(words) == length, _short_hashes(words, length))
+        return cases
+
+    def of_text(words: Column) -> Column:
+        return F.concat(
+            F.array(F.size(words).cast("long")), winnow(words, gram, over), *(_short_hashes(words, length) for length in short)
+        )
+
+    prints = bench.select("n", F.explode(F.transform(of_window(F.col("w")), _hash_part)).alias("print")).distinct()
     # One pass over the texts: each row's number of words comes first, its fingerprints follow.
     seen = base.select(
         doc_id,
         "_id",
         "_row",
-        F.posexplode(
-            let(
-                words_of(F.col("_text")),
-                lambda w: F.concat(F.array(F.size(w).cast("long")), winnow(w, gram, over)),
-            )
-        ).alias("_at", "_packed"),
+        F.posexplode(let(words_of(F.col("_text")), of_text)).alias("_at", "_packed"),
     ).select(
         doc_id,
         "_id",
@@ -174,7 +182,7 @@ def _judged(
         F.when(F.col("_at") > 0, _hash_part(F.col("_packed"))).alias("print"),
         _place_part(F.col("_packed")).alias("place"),
     )
-    met = _with_benchmark(seen, prints, "print", windows * window, "left")
+    met = _with_benchmark(seen, prints, "print", windows * window, held, "left")
     rows = through_storage(
         met.where(F.col("n").isNotNull() | F.col("n_words").isNotNull())
         .groupBy(doc_id, "_id", "_row")
@@ -187,11 +195,14 @@ def _judged(
     )
 
     def windows_at(words: Column, hits: Column) -> Column:
-        # Every start at which a window of n words could hold the gram that was met.
+        # Every start at which a window of n words could hold the gram that was met; a short item's is its own start.
+        def first(h: Column) -> Column:
+            return F.when(h["n"] < window, h["place"]).otherwise(F.greatest(h["place"] - window + gram, F.lit(0)))
+
         around = F.transform(
             hits,
             lambda h: F.transform(
-                F.sequence(F.greatest(h["place"] - h["n"] + gram, F.lit(0)), h["place"]),
+                F.sequence(first(h), h["place"]),
                 lambda s: F.struct(s.alias("start"), h["n"].alias("n")),
             ),
         )
@@ -205,7 +216,7 @@ def _judged(
     tried = texts.select(
         "_id", "_row", F.explode(let(words_of(F.col("_text")), lambda w: windows_at(w, F.col("hits")))).alias("c")
     ).select("_id", "_row", "c.start", "c.n", "c.w")
-    sure = _with_benchmark(tried, bench.select("item", "w"), "w", windows, "inner")
+    sure = _with_benchmark(tried, bench.select("item", "w"), "w", windows, held, "inner")
     ends = F.struct("start", (F.col("start") + F.col("n")).alias("end"))
     per_doc = sure.groupBy("_id", "_row").agg(
         F.array_sort(F.collect_set(ends)).alias("ranges"), F.array_sort(F.collect_set("item")).alias("items")

@@ -56,6 +56,25 @@ def test_short_items_are_one_window(spark, docs_of):
     check(spark, docs_of, cases()[1] + [(3, "ok then"), (4, "OK"), (5, cases()[0][6].split(" ", 7)[3])])
 
 
+def test_items_of_every_length_below_a_window(spark, docs_of):
+    rest = cases()[0][6].split(" ")
+    check(spark, docs_of, cases()[1] + [(100 + n, " ".join(rest[n : 2 * n])) for n in range(1, 15)])
+
+
+def test_a_short_item_leaves_the_winnowing_as_it_is(spark, docs_of):
+    """A one-word item adds the places of that word to the tried ones, not a fingerprint of every word."""
+    common = "the " * 300 + " ".join(f"w{i}" for i in range(300))
+    bench = spark.createDataFrame([(1, "the"), (2, " ".join(f"v{i}" for i in range(40)))], "item_id long, text string")
+    got = contaminated_words(docs_of([common, "then w1 v3 v4"]), bench).collect()
+    assert sorted((r.n_hit, r.items) for r in got) == [(0, []), (300, ["1"])]
+    assert [(s.start, s.end) for r in got for s in r.spans] == [(0, 300)]
+
+
+def test_benchmark_of_long_words_is_not_broadcast(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 100)
+    check(spark, docs_of, cases()[1] + [(3, "ok then"), (4, "OK")])
+
+
 def test_shuffled_benchmark(spark, docs_of, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
     check(spark, docs_of, cases()[1])
