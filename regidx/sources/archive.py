@@ -14,6 +14,7 @@ import re
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -26,6 +27,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from regidx.fixed import FIELD_SEPARATOR, FILE_ENCODING
 from regidx.session import _hadoop_path, matching_paths, remove_path, scratch_path
 from regidx.sources.delimited import parse_lines
+from regidx.sources.split_records import MOST_CHARS, UnclosedQuote
 
 LINES_PER_BATCH = 8192
 ARCHIVE_LINE = T.StructType(
@@ -39,11 +41,13 @@ ARCHIVE_LINE = T.StructType(
 _ARROW_LINE = pa.schema(
     [("archive", pa.string()), ("member", pa.string()), ("line_number", pa.int64()), ("line", pa.string())]
 )
-# A row that ends inside a quoted field; quotes count only at the start of a field.
-_OPEN_ROW = re.compile(
+# A line that begins outside quotes and ends inside; quotes count only at the start of a field.
+_OPENS = re.compile(
     rf'(?:(?:"(?:[^"]|"")*+"[^{FIELD_SEPARATOR}]*+|[^"{FIELD_SEPARATOR}][^{FIELD_SEPARATOR}]*+)?{FIELD_SEPARATOR})*+'
     rf'"(?:[^"]|"")*+\Z'
-)
+).match
+# What ends a quoted field that an earlier line began, with the rest of that field.
+_CLOSES = re.compile(rf'(?:[^"]|"")*+"(?!")[^{FIELD_SEPARATOR}]*+').match
 
 
 def arrow_path(path: str) -> tuple[pafs.FileSystem, str]:
@@ -70,18 +74,33 @@ def matching_members(names: list[str], marker: str, first_only: bool) -> list[st
     return found[:1] if first_only else found
 
 
-def rows_of(lines: Iterator[str]) -> Iterator[str]:
-    """Join lines that a quoted line break split."""
-    pending = ""
+def rows_of(lines: Iterator[str], most_chars: int = MOST_CHARS) -> Iterator[str]:
+    """Join lines that a quoted line break split; each line is looked at once.
+
+    A quote that is never closed is an error, and so is a row of more than ``most_chars`` characters.
+    """
+    pending: list[str] = []
+    size = 0
     for line in lines:
-        row = f"{pending}\n{line}" if pending else line
-        if row.count('"') % 2 and _OPEN_ROW.match(row):
-            pending = row
+        if '"' not in line:
+            inside = bool(pending)
+        elif not pending:
+            inside = _OPENS(line) is not None
+        else:
+            closed = _CLOSES(line)
+            inside = closed is None or _OPENS(line, closed.end() + 1) is not None
+        if not inside and not pending:
+            yield line
             continue
-        pending = ""
-        yield row
+        pending.append(line)
+        size += len(line) + 1
+        if size > most_chars:
+            raise UnclosedQuote(f"a row of more than {most_chars} characters")
+        if not inside:
+            yield "\n".join(pending)
+            pending, size = [], 0
     if pending:
-        yield pending
+        raise UnclosedQuote("a quote is never closed")
 
 
 @dataclass
@@ -98,10 +117,12 @@ class ArchiveReader(DataSourceReader):
         self.first_only = options.get("firstonly", "true") == "true"
 
     def partitions(self) -> list[MemberPartition]:
+        if self.first_only:  # each task looks for its member itself
+            return [MemberPartition(path, "") for path in self.paths] or [MemberPartition("", "")]
         parts = []
         for path in self.paths:
             with open_path(path) as handle, zipfile.ZipFile(handle) as archive:
-                names = matching_members(archive.namelist(), self.marker, self.first_only)
+                names = matching_members(archive.namelist(), self.marker, False)
             parts.extend(MemberPartition(path, name) for name in names)
         return parts or [MemberPartition("", "")]
 
@@ -109,17 +130,21 @@ class ArchiveReader(DataSourceReader):
         if not partition.archive:
             return
         with open_path(partition.archive) as handle, zipfile.ZipFile(handle) as archive:
-            with archive.open(partition.member) as raw:
-                text = io.TextIOWrapper(raw, encoding=self.encoding, newline=None)
-                batch: list[str] = []
-                start = 0
-                for row in rows_of(line.rstrip("\n") for line in text):
-                    batch.append(row)
-                    if len(batch) == LINES_PER_BATCH:
-                        yield self._arrow(partition, start, batch)
-                        start, batch = start + len(batch), []
-                if batch:
-                    yield self._arrow(partition, start, batch)
+            members = [partition.member] if partition.member else matching_members(archive.namelist(), self.marker, True)
+            for member in members:
+                place = MemberPartition(partition.archive, member)
+                with archive.open(member) as raw:
+                    text = io.TextIOWrapper(raw, encoding=self.encoding, newline=None)
+                    try:
+                        yield from self._batches(place, rows_of(line.rstrip("\n") for line in text))
+                    except UnclosedQuote as error:
+                        raise UnclosedQuote(f"{place.archive}, {member}: {error}") from error
+
+    def _batches(self, place: MemberPartition, rows: Iterator[str]) -> Iterator[pa.RecordBatch]:
+        start = 0
+        while batch := list(islice(rows, LINES_PER_BATCH)):
+            yield self._arrow(place, start, batch)
+            start += len(batch)
 
     def _arrow(self, partition: MemberPartition, start: int, lines: list[str]) -> pa.RecordBatch:
         size = len(lines)

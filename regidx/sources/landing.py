@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 import zipfile
 from collections.abc import Iterator
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from regidx.fixed import PERIOD_PATTERN
 from regidx.session import matching_paths
 from regidx.sources.archive import open_path
+from regidx.sources.json_items import parts
 
 
 def discover(spark: SparkSession, folder: str, *patterns: str) -> list[str]:
@@ -50,8 +50,8 @@ def _problem(path: str, kind: str) -> str | None:
             if kind == "zip":
                 with zipfile.ZipFile(handle) as archive:
                     return None if archive.namelist() else "no members"
-            json.loads(handle.read().decode("utf-8"))
-            return None
+            read = sum(1 for _ in parts(handle, errors="strict"))
+            return None if read else "not valid JSON"
     except zipfile.BadZipFile:
         return "not a zip archive"
     except ValueError:

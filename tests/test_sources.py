@@ -1,10 +1,13 @@
 """Dialect, archives, landing audit, and the plans that must hold at scale."""
 
+import io
 import json
 import zipfile
 from types import SimpleNamespace
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -18,6 +21,7 @@ from regidx.session import shared_folder
 from regidx.sources.archive import base_name, expand_archives, read_archive_rows, rows_of
 from regidx.sources.delimited import read_companies
 from regidx.sources.directory import read_participants
+from regidx.sources.split_records import UnclosedQuote
 from regidx.sources.landing import audit_files, latest_period, list_files, read_latest_period
 
 ROWS = [
@@ -65,6 +69,39 @@ def test_quoted_line_breaks_are_joined():
     assert list(rows_of(iter(['"a";"b', 'c";"d"', 'x"y;z', '"e"']))) == ['"a";"b\nc";"d"', 'x"y;z', '"e"']
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet='";ab\n', max_size=60))
+def test_rows_equal_a_character_by_character_reading(text):
+    rows, row, inside, starts, at = [], "", False, True, 0
+    while at < len(text):
+        c = text[at]
+        if inside and c == '"' and text[at : at + 2] == '""':
+            row, at = row + '""', at + 2
+            continue
+        if inside:
+            inside = c != '"'
+        elif c == "\n":
+            rows, row, starts, at = [*rows, row], "", True, at + 1
+            continue
+        else:
+            inside, starts = starts and c == '"', c == ";"
+        row, at = row + c, at + 1
+    lines = io.StringIO(text)
+    if inside:
+        with pytest.raises(UnclosedQuote):
+            list(rows_of(line.rstrip("\n") for line in lines))
+    else:
+        assert list(rows_of(line.rstrip("\n") for line in lines)) == rows + [row] * bool(row)
+
+
+def test_an_unclosed_quote_in_an_archive_is_an_error(spark, tmp_path):
+    with pytest.raises(UnclosedQuote):
+        list(rows_of(iter(['"a', *["b"] * 1000]), most_chars=100))
+    write_zip(tmp_path / "a.zip", "EMPRE", ['"1";"A"', '"2";"B', '3;C'])
+    with pytest.raises(PySparkException, match="never closed"):
+        read_archive_rows(spark, [str(tmp_path / "a.zip")], "EMPRE", COMPANY_FILE).collect()
+
+
 def test_expansion_stays_inside_its_target(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as archive:
         archive.writestr("../../fora.txt", "dentro\n")
