@@ -7,8 +7,10 @@ import tracemalloc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import cloudpickle
 
-from regidx.sources import json_items
+import regidx
+from regidx.sources import directory, json_items, landing
 from regidx.sources.directory import PAYLOAD_KEYS, read_participants
 from regidx.sources.json_items import items, parts
 
@@ -111,3 +113,16 @@ def test_files_of_many_items_in_order(spark, tmp_path):
         by_file.setdefault(r.file.rsplit("/", 1)[1], []).append((r.row, r.OrganisationName))
     assert sorted(by_file["a b%.json"]) == [(i, f"Ação {i}") for i in range(9000)]
     assert by_file["b.json"] == [(1, 'sob "aspas"')] and len(by_file) == 2
+
+
+def test_readers_of_items_can_be_shipped_without_the_package(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"data": [{"OrganisationName": "A"}, {"OrganisationName": "B"}]}')
+    list(parts(io.BytesIO(b"[1]")))
+    cloudpickle.register_pickle_by_value(regidx)
+    try:
+        assert cloudpickle.dumps([directory._items, landing._problem])
+        assert read_participants(spark, str(tmp_path)).count() == 2
+        audit = landing.audit_files(landing.list_files(spark, str(tmp_path))).collect()
+    finally:
+        cloudpickle.unregister_pickle_by_value(regidx)
+    assert [(row.kind, row.valid) for row in audit] == [("json", True)]
