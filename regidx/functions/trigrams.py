@@ -19,6 +19,8 @@ _BREAKS = re.compile(r"[\W_]+")
 _BITS = 21  # enough for any code point
 _LONG = 300  # trigrams from which the array search is faster
 _WINDOW, _STARTS = 128, 256
+#: Characters of the texts that the column function prepares at a time; their arrays take some fifty times as many bytes.
+_SLICE_CHARS = 1 << 18
 
 
 # --- native expressions ----------------------------------------------------------
@@ -157,16 +159,24 @@ def stretch_score(query: np.ndarray, query_set: set[int], target: np.ndarray, be
     return best_stretch(query_set, target.tolist(), beat)
 
 
+def _slices(left: pd.Series, right: pd.Series) -> list[slice]:
+    """Cuts rows into runs of some _SLICE_CHARS characters, of one row at least."""
+    lengths = np.array([len(a or "") + len(b or "") for a, b in zip(left, right, strict=True)], dtype=np.int64)
+    run = np.cumsum(lengths) // _SLICE_CHARS
+    cuts = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), len(lengths)]
+    return [slice(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
+
+
 @F.pandas_udf(DoubleType())
 def word_similarity(query: pd.Series, target: pd.Series) -> pd.Series:
-    """``word_similarity`` of two text columns; 0 when either is empty."""
-    queries, query_at = batch_trigrams(query.tolist())
-    targets, target_at = batch_trigrams(target.tolist())
-    return pd.Series(
-        [
+    """``word_similarity`` of two text columns; 0 when either is empty. Texts are prepared a slice at a time."""
+    scores: list[float] = []
+    for part in _slices(query, target):
+        queries, query_at = batch_trigrams(query.iloc[part].tolist())
+        targets, target_at = batch_trigrams(target.iloc[part].tolist())
+        scores.extend(
             stretch_score(wanted := np.unique(queries[query_at[i] : query_at[i + 1]]), set(wanted.tolist()),
                           targets[target_at[i] : target_at[i + 1]])
-            for i in range(len(query))
-        ],
-        dtype="float64",
-    )
+            for i in range(part.stop - part.start)
+        )
+    return pd.Series(scores, dtype="float64")

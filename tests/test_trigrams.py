@@ -1,8 +1,11 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
+from regidx.functions import trigrams
 from regidx.functions.trigrams import batch_trigrams, best_stretch, best_stretch_long, similarity, trigram_set, word_similarity
 
 NU, LONG, OTHER = "Nu Pagamentos", "Nu Pagamentos S.A. - Instituicao De Pagamento", "Pagamentos Limitados Ltda"
@@ -70,3 +73,20 @@ def test_repeated_text_is_not_quadratic():
     short = best_stretch(set(query.tolist()), codes.tolist())
     assert 0 < short < 1
     assert best_stretch_long(np.unique(query), codes) == short
+
+
+def test_the_column_function_prepares_bounded_slices(monkeypatch):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcde ", k=2000)) for _ in range(40)]
+    target = pd.Series([texts[i % 40] for i in range(1500)] + [None, "", "xyz"])
+    query = pd.Series(["zq"] * 1500 + ["a", None, "xyz"])
+    tracemalloc.start()
+    got = trigrams.word_similarity.func(query, target)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20, peak  # all texts at once: some 200 MB
+    assert len(got) == 1503 and got.iloc[-1] == 1 and got.iloc[-2] == got.iloc[-3] == 0
+    some = pd.Series([texts[0][i : i + 40] for i in range(30)]), pd.Series(texts[:30])
+    whole = trigrams.word_similarity.func(*some).tolist()
+    monkeypatch.setattr(trigrams, "_SLICE_CHARS", 1)
+    assert trigrams.word_similarity.func(*some).tolist() == whole
