@@ -5,7 +5,10 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from regidx.catalog import standins
+from regidx.plans import index_table
 from regidx.plans.index_table import IndexTable
+from regidx.plans.registry import standardise_participants
 from regidx.plans.snapshots import ConcurrentChange, Snapshots
 from regidx.plans.statistics import stats_record
 from regidx.schemas import METADATA
@@ -184,3 +187,27 @@ def test_statistics_of_kept_summaries_equal_the_scan(spark, table):
     assert not [file for file in plan.inputFiles() if "/data/" in file]
     table.truncate()
     assert same().total_embeddings == 0 and table.statistics(exact=False).first().total_companies == 0
+
+
+def test_a_batch_without_repeated_keys_is_not_sorted_and_null_keys_count_as_equal(spark):
+    schema = "cnpj string, text_md5 string, source string, metadata struct<a: string>, embedding array<float>"
+    rows = [("1", "x", "bacen", ("p",), [1.0]), ("1", "x", "receita_federal", ("q",), [2.0]), ("2", "x", "cvm", ("p",), [3.0]),
+            (None, "x", "cvm", ("z",), [4.0]), (None, "x", "cvm", ("b",), [5.0]), ("3", None, "cvm", ("z",), [6.0])]
+    found = index_table.once_per_key(spark.createDataFrame(rows, schema))
+    assert sorted(r.embedding[0] for r in found.collect()) == [2.0, 3.0, 5.0, 6.0]
+    single = index_table.once_per_key(spark.range(4000).selectExpr(
+        "cast(id as string) cnpj", "'x' text_md5", "'cvm' source", "named_struct('a', 'p') metadata", "array(1f) embedding"))
+    assert single.count() == 4000
+    plan = single._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and plan.index("Union") < plan.index("Window")  # the window is the repeated rows' alone
+
+
+def test_a_table_in_one_file_is_cleaned_by_all_cores(spark, tmp_path):
+    spark.range(2000).selectExpr("id p_partkey", "'ring' p_name", "'Brand#1' p_brand", "'LARGE' p_type", "3 p_size").coalesce(
+        1).write.parquet(f"{tmp_path}/part.parquet")
+    rows = standins.raw_participants(spark, str(tmp_path))
+    busy = rows.groupBy(F.spark_partition_id()).count().count()
+    assert busy >= 2 * spark.sparkContext.defaultParallelism
+    cleaned = standardise_participants(rows)
+    plan = cleaned._jdf.queryExecution().optimizedPlan().toString()
+    assert cleaned.count() == 2000 and "ArrowEvalPython" not in plan[plan.index("Repartition") :]
