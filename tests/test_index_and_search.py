@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -252,3 +253,36 @@ def test_stream_equals_batch(spark, chunks, tmp_path):
     for run in ("one", "two"):
         keep_index_current(chunk_stream(spark, folder, 2), table, str(tmp_path / run)).awaitTermination()
         assert table.read().count() == plain.select("cnpj", "text").distinct().count()
+
+
+@pytest.mark.parametrize("kept", [8, 0])
+def test_only_rows_that_pass_a_blocks_filters_are_compared(monkeypatch, kept):
+    rng = np.random.default_rng(4)
+    rows = [(f"c{i:04d}", f"{i:014d}", f"nome {i % 37}", f"texto {i % 53} {i % 7}", rng.normal(size=4).tolist(), f"S{i % 9}") for i in range(6000)]
+    names = ["chunk_id", "cnpj", "name", "text_chunk", "embedding", "uf"]
+    columns = {name: [row[at] for row in rows] for at, name in enumerate(names)}
+    columns |= {name: [None] * len(rows) for name in ("porte", "porte_cod", "source")}
+    batch = pa.RecordBatch.from_pydict(columns)
+    queries = [hybrid.Query(str(i), f"nome {i} texto", rng.normal(size=4), f"s{i % 9}") for i in range(18)]
+    queries.sort(key=lambda query: query.state)
+    compared, real = [], hybrid._score_allowed
+
+    def counted(prepared, block, floors, allowed):
+        compared.append(prepared.batch.num_rows * len(block.queries))
+        return real(prepared, block, floors, allowed)
+
+    def best(members):
+        blocks = lambda: iter([members[at : at + 2] for at in range(0, len(members), 2)])
+        found = [r for b in hybrid.score_batches(iter([batch]), blocks, hybrid.Weights(), 3, ["chunk_id", "cnpj"]) for r in b.to_pylist()]
+        return {q.query_id: sorted((-r["score"], r["cnpj"]) for r in found if r["query_id"] == q.query_id)[:3] for q in members}
+
+    monkeypatch.setattr(hybrid, "_score_allowed", counted)
+    monkeypatch.setattr(hybrid, "KEPT_BLOCKS", kept)
+    monkeypatch.setattr(hybrid, "SLICE_ROWS", 2048)
+    got = best(queries)
+    assert sum(compared) <= 6000 * len(queries) // 9 + 9 * len(queries)
+    for query in queries:
+        mine = batch.filter(pa.array([row[5] == query.state.upper() for row in rows]))
+        plain = hybrid.Query(query.query_id, query.text, query.vector)
+        whole = [r for b in hybrid.score_batches(iter([mine]), lambda: iter([[plain]]), hybrid.Weights(), mine.num_rows, ["chunk_id", "cnpj"]) for r in b.to_pylist()]  # noqa: B023
+        assert sorted((-r["score"], r["cnpj"]) for r in whole)[:3] == got[query.query_id]
