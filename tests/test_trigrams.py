@@ -3,6 +3,7 @@ import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from regidx.functions import trigrams
@@ -90,3 +91,55 @@ def test_the_column_function_prepares_bounded_slices(monkeypatch):
     whole = trigrams.word_similarity.func(*some).tolist()
     monkeypatch.setattr(trigrams, "_SLICE_CHARS", 1)
     assert trigrams.word_similarity.func(*some).tolist() == whole
+
+
+def test_many_queries_at_a_time_equal_every_stretch(monkeypatch):
+    rng = random.Random(13)
+    for _ in range(600):
+        levels = [((1, 1), (2, 2)), ((1, 2), (3, 3)), ((2, 3), (4, 2)), ((5, 50),), ((1, 2), (2, 3), (4, 3))]
+        monkeypatch.setattr(trigrams, "_LEVELS", rng.choice(levels))
+        monkeypatch.setattr(trigrams, "_CELLS", rng.choice([1, 20, 1 << 20]))
+        monkeypatch.setattr(trigrams, "_TOGETHER", rng.choice([1, 7, 1000]))
+        alphabet = rng.randint(2, 14)
+        queries = [{rng.randrange(alphabet) for _ in range(rng.randint(0, 6))} for _ in range(rng.randint(1, 4))]
+        target = [rng.randrange(alphabet) for _ in range(rng.randint(0, 30))]
+        if rng.random() < 0.4:
+            target = target[:7] * 4
+        vocabulary = np.array(sorted(set().union(*queries)), dtype=np.int64)
+        member = np.array([[code in query for query in queries] for code in vocabulary.tolist()] + [[False] * len(queries)], dtype=np.uint8)
+        sizes = np.array([max(1, len(query)) for query in queries])
+        best = np.array([all_stretches(query, target) for query in queries])
+        for beat in (0.0, 0.4):
+            got = trigrams.best_stretches(vocabulary, member, sizes, np.array(target, dtype=np.int64), np.full(len(queries), beat))
+            assert got.tolist() == np.where(best > beat, best, 0).tolist()
+
+
+def test_long_texts_are_compared_with_all_queries_at_once(monkeypatch):
+    from regidx.operators import hybrid
+
+    rng = random.Random(14)
+    words = ["".join(rng.choices("aeiorstn", k=rng.randint(2, 6))) for _ in range(60)]
+    texts = [" ".join(rng.choices(words, k=rng.choice([3, 150, 400]))) for _ in range(40)] + ["", None]
+    asked = [" ".join(rng.choices(words, k=rng.randint(1, 20))) for _ in range(12)] + [texts[0][:80]]
+    columns = {"chunk_id": [f"{i:03d}" for i in range(len(texts))], "cnpj": [f"{i:03d}" for i in range(len(texts))],
+               "name": [""] * len(texts), "text_chunk": texts}
+    nulls = {name: pa.nulls(len(texts), pa.string()) for name in ("uf", "porte", "porte_cod", "source")}
+    batch = pa.RecordBatch.from_pydict({name: pa.array(values, pa.string()) for name, values in columns.items()} | nulls)
+    queries = [hybrid.Query(str(i), text, None) for i, text in enumerate(asked)]
+
+    def single(query, query_set, target, beat=0.0):
+        assert len(target) <= hybrid.LONG, "a long text was compared with one query"
+        return trigrams.stretch_score(query, query_set, target, beat)
+
+    codes, at = batch_trigrams(texts)
+    grams = [set(batch_trigrams([text])[0].tolist()) for text in asked]
+    scores = [[0.6 * best_stretch(g, codes[at[i] : at[i + 1]].tolist()) for i in range(len(texts))] for g in grams]
+    monkeypatch.setattr(hybrid, "stretch_score", single)
+    for size in (100, 5):
+        parts = [batch.slice(i, size) for i in range(0, len(texts), size)]
+        found = {}
+        for part in hybrid.score_batches(iter(parts), lambda: iter([queries]), hybrid.Weights(), 4, ["cnpj"]):
+            for row in part.to_pylist():
+                found.setdefault(int(row["query_id"]), []).append((-row["score"], row["cnpj"]))
+        for number, row in enumerate(scores):
+            assert sorted(found[number])[:4] == sorted((-score, f"{i:03d}") for i, score in enumerate(row))[:4]
